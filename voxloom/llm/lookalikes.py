@@ -173,13 +173,21 @@ def unsettled_rows(records: DataFrame) -> DataFrame:
 
 def unsettled_forms(rows: DataFrame, store: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """tbl, key, text, form of the rows (as of unsettled_rows) that aren't settled. The forms of tokens are stored."""
-    spelled = store(canonical_tokens(rows))
-    odd = rows.where("unsettled").select("tbl", "key", "text").distinct()
-    texts = odd.select("text").distinct()
-    pieces = texts.select("text", F.posexplode(F.split("text", _SPACES, -1)).alias("at", "token"))
-    spelled = spelled.select("token", F.col("form").alias("own"))
-    formed = pieces.join(spelled, "token", "left").groupBy("text").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("own", "token").alias("own")))).alias("all"))
-    return odd.join(formed, "text").select("tbl", "key", "text", F.array_join(F.transform("all", lambda x: x["own"]), " ").alias("form"))
+    spelled = store(canonical_tokens(rows)).select("token", F.col("form").alias("own"))
+    odd = rows.where("unsettled").select("tbl", "key", "text", *_identity("text")).distinct()
+    texts = odd.select("text", "h1", "h2").dropDuplicates(["h1", "h2"])
+    # pieces carry the text's hashes, not the text
+    pieces = texts.select("h1", "h2", F.posexplode(F.split("text", _SPACES, -1)).alias("at", "token"))
+    placed = F.struct("at", F.coalesce("own", "token").alias("own"))
+    formed = pieces.join(spelled, "token", "left").groupBy("h1", "h2").agg(F.array_sort(F.collect_list(placed)).alias("all"))
+    form = F.array_join(F.transform("all", lambda x: x["own"]), " ")
+    return odd.join(formed.select("h1", "h2", form.alias("form")), ["h1", "h2"]).select("tbl", "key", "text", "form")
+
+
+def _identity(text: str, *names: str):
+    """128 bits that stand for a text."""
+    one, two = names or ("h1", "h2")
+    return F.xxhash64(text).alias(one), F.xxhash64(F.lit(1), text).alias(two)
 
 
 def same_looking_pairs(rows: DataFrame, formed: DataFrame) -> DataFrame:
@@ -188,9 +196,10 @@ def same_looking_pairs(rows: DataFrame, formed: DataFrame) -> DataFrame:
     Of two such strings one is unsettled, so only records with the form of an unsettled one are paired. rows: tbl, key, text,
     unsettled; formed: as of unsettled_forms.
     """
-    wanted = formed.select("tbl", "form").distinct()
-    settled = rows.where("NOT unsettled").select("tbl", "key", "text", F.col("text").alias("form")).join(wanted, ["tbl", "form"], "left_semi")
-    both = settled.unionByName(formed).distinct()
-    a, b = (both.select("tbl", "form", F.col("key").alias(f"key_{x}"), F.col("text").alias(f"text_{x}")) for x in "ab")
-    pairs = a.join(b, ["tbl", "form"]).where("key_a < key_b AND text_a <> text_b")
+    other = formed.select("tbl", "key", *_identity("text", "t1", "t2"), *_identity("form"))
+    wanted = other.select("tbl", "h1", "h2").distinct()
+    settled = rows.where("NOT unsettled").select("tbl", "key", *_identity("text", "t1", "t2"), *_identity("text"))
+    both = settled.join(wanted, ["tbl", "h1", "h2"], "left_semi").unionByName(other).distinct()
+    a, b = (both.select("tbl", "h1", "h2", *(F.col(c).alias(f"{c}_{x}") for c in ("key", "t1", "t2"))) for x in "ab")
+    pairs = a.join(b, ["tbl", "h1", "h2"]).where("key_a < key_b AND (t1_a <> t1_b OR t2_a <> t2_b)")
     return pairs.select("tbl", "key_a", "key_b").distinct()
