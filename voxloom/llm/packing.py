@@ -126,6 +126,6 @@ def pack(items: DataFrame, capacity: int) -> DataFrame:
 def pack_documents(documents: DataFrame, capacity: int, store=None, folder: str = tokens.FOLDER, name: str = tokens.NAME) -> DataFrame:
     """pack() of documents (doc_id, text, source), sized in tokens. Clusters are copies of a text; store keeps the sizes between jobs."""
     sizes = tokens.encode_corpus(documents, folder, name, counts_only=True)
-    rest = documents.select("doc_id", "source", F.xxhash64("text").alias("cluster"))
+    rest = documents.select("doc_id", "source", F.xxhash64("text").alias("cluster")).dropDuplicates(["doc_id"])
     items = sizes.join(rest, "doc_id")
     return pack(store(items) if store else items, capacity)

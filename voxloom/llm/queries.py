@@ -170,8 +170,7 @@ def _capacity(spark: SparkSession, d: str) -> int:
 
 
 def p9_containers(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").select("doc_id", "text", "source").distinct()
-    return packing.pack_documents(rows, _capacity(spark, d), lambda df: stored(df, "items"))
+    return packing.pack_documents(table(spark, d, "documents"), _capacity(spark, d), lambda df: stored(df, "items"))
 
 
 def p9_fill(spark: SparkSession, d: str) -> DataFrame:

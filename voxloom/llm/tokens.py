@@ -117,6 +117,8 @@ def _join_back(counts_only: bool):
         if isinstance(pieces, pa.ChunkedArray):
             pieces = pa.concat_arrays(pieces.chunks)
         docs = documents.combine_chunks()
+        if len(docs.column("doc_id").unique()) < docs.num_rows:  # repeated rows
+            docs = docs.group_by(["doc_id", "text"]).aggregate([])
         texts = docs.column("text").combine_chunks() if docs.num_rows else pa.array([], pa.string())
         own, index, counts = cut_batch(texts)
         at = pc.index_in(own, value_set=table_words).to_numpy(zero_copy_only=False)
