@@ -25,6 +25,7 @@ FOLDER = "/opt/tokenizers"
 NAME = "byte_bpe_50k"
 #: Bytes of text in a block of documents, which one task holds at a time with its words and ids.
 BLOCK_BYTES = 2 << 20
+BLOCKS_A_TASK = 4
 
 # White space as the tokenizer's pattern has it (Unicode's property).
 _WHITE = "".join(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
@@ -148,7 +149,9 @@ def _blocks(documents: DataFrame) -> DataFrame:
     n_bytes = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, math.ceil(n_bytes / BLOCK_BYTES))
     rows = documents.select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).alias("block"), "doc_id", "text")
-    return rows.repartition("block")
+    # a task gets a few blocks, whatever the data's size; small data still spread over the cluster
+    parts = max(n // BLOCKS_A_TASK, min(n, 2 * documents.sparkSession.sparkContext.defaultParallelism))
+    return rows.repartition(parts, "block")
 
 
 def distinct_words(documents: DataFrame, folder: str = FOLDER, name: str = NAME) -> DataFrame:
