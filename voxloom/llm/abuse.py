@@ -35,8 +35,10 @@ TABLE = 1 << 20
 #: Letters in a window of a long sentence, and from one to the next.
 WINDOW, STRIDE = 60, 30
 LANDMARKS = 420
-MAX_DOCUMENTS, MAX_LETTERS, MAX_PASSAGES = 2000, 2_000_000, 4000
+MAX_DOCUMENTS, MAX_LETTERS, MAX_PASSAGES = 2000, 1_500_000, 4000
 ROUNDS = 4
+#: How far below the machine's boundary a passage still counts as flagged.
+MARGIN = 0.1
 #: Standard deviations above its share of documents at which a subsequence speaks for a flag; weight of a flagged passage.
 SIGNIFICANT, HEAVIER = 2.0, 2.5
 #: Share of the clean passages that a flagged one must score above.
@@ -130,7 +132,7 @@ def features(codes: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndar
         sub.append(h[at])
         val.append(np.full(len(at), weight, np.float32))
     own, sub, val = map(np.concatenate, (own, sub, val))
-    order = np.argsort(own, kind="stable")
+    order = np.argsort(own.astype(np.int32), kind="stable")
     return own[order], sub[order], val[order]
 
 
@@ -147,14 +149,8 @@ def fit(texts: list[str], flagged: list[int], terms: list[str], seed: int = 0) -
         return none
     label = flags[doc]
     # first scores: subsequences that flagged documents have significantly more often than their share, documents counted once
-    own, sub, val = features(codes, lo, hi)
-    norm = norms(lo, hi)
-    seen = np.unique(doc[own] * np.int64(TABLE) + sub)
-    docs, subs = seen // TABLE, seen % TABLE
-    share = len(np.unique(doc[label == 1])) / len(np.unique(doc))
-    among = np.bincount(subs, minlength=TABLE)
-    z = (np.bincount(subs[flags[docs] == 1], minlength=TABLE) - share * among) / np.sqrt(np.maximum(1, among) * share * (1 - share))
-    score = np.bincount(own, val * np.clip(z - SIGNIFICANT, -0.3, 4)[sub], len(lo)) / norm
+    z = _significance(codes, flags)
+    score = Model(np.clip(z - SIGNIFICANT, -0.3, 4).astype(np.float32), 0.0).score(codes, lo, hi)
     if terms:
         score += _listed(codes, lo, hi, terms)
     # of either kind the passages that score highest, and of clean ones as many by chance, are trained on
@@ -162,13 +158,10 @@ def fit(texts: list[str], flagged: list[int], terms: list[str], seed: int = 0) -
     dirty, clean = ranked[label[ranked] == 1][:MAX_PASSAGES], ranked[label[ranked] == 0]
     clean = np.concatenate([clean[: MAX_PASSAGES // 2], rng.permutation(clean[MAX_PASSAGES // 2 :])[: MAX_PASSAGES // 2]])
     rows = np.sort(np.concatenate([dirty, clean]))
-    y, score, norm = label[rows], score[rows], norm[rows]
-    at = np.full(len(lo), -1)
-    at[rows] = np.arange(len(rows))
-    kept = at[own] >= 0
-    own, sub, val = at[own[kept]], sub[kept], val[kept]
+    y, score, doc, norm = label[rows], score[rows], doc[rows], norms(lo[rows], hi[rows])
+    own, sub, val = features(codes, lo[rows], hi[rows])
     for turn in range(ROUNDS):
-        top = _chosen(score, doc[rows], y)
+        top = _chosen(score, doc, y)
         if not len(top):
             return none
         used = np.concatenate([top, np.flatnonzero(y == 0)])
@@ -187,7 +180,22 @@ def fit(texts: list[str], flagged: list[int], terms: list[str], seed: int = 0) -
     at[marks] = np.arange(len(marks))
     mine = at[own] >= 0
     np.add.at(table, sub[mine], (val[mine] * (beta / norm[marks])[at[own[mine]]]).astype(np.float32))
-    return Model(table, float(b))
+    return Model(table, float(b) + MARGIN)
+
+
+def _significance(codes: np.ndarray, flags: np.ndarray) -> np.ndarray:
+    """For each hashed subsequence by how many standard deviations flagged documents have it too often; each document counts once."""
+    doc = np.cumsum(codes == 0x1F) - (codes == 0x1F)
+    part = np.cumsum((codes == 0x1E) | (codes == 0x1F))
+    seen = []
+    for reach, h, _ in subsequences(codes):
+        n = len(h)
+        seen.append(np.unique((doc[:n] * np.int64(TABLE) + h)[part[:n] == part[reach : n + reach]]))
+    seen = np.unique(np.concatenate(seen))
+    docs, subs = seen // TABLE, seen % TABLE
+    share = flags.mean()
+    among = np.bincount(subs, minlength=TABLE)
+    return (np.bincount(subs[flags[docs] == 1], minlength=TABLE) - share * among) / np.sqrt(np.maximum(1, among) * share * (1 - share))
 
 
 def _listed(codes: np.ndarray, lo: np.ndarray, hi: np.ndarray, terms: list[str]) -> np.ndarray:
@@ -234,10 +242,10 @@ def _kernel(own, sub, val, norm, marks, n) -> np.ndarray:
     useful = np.flatnonzero(col < len(kept))
     col, row, v = col[useful], own[useful], val[useful]
     out = np.zeros((n, len(marks)), np.float32)
-    for i in range(0, len(col), 1 << 17):
-        r = row[i : i + (1 << 17)]
+    for i in range(0, len(col), 1 << 14):
+        r = row[i : i + (1 << 14)]
         first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-        out[r[first]] += np.add.reduceat(dense[col[i : i + (1 << 17)]] * v[i : i + (1 << 17), None], first, axis=0)
+        out[r[first]] += np.add.reduceat(dense[col[i : i + (1 << 14)]] * v[i : i + (1 << 14), None], first, axis=0)
     return (out / norm[:, None]).astype(np.float64)
 
 

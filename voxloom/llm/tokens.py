@@ -25,7 +25,7 @@ FOLDER = "/opt/tokenizers"
 NAME = "byte_bpe_50k"
 #: Bytes of text in a block of documents, which one task holds at a time with its words and ids.
 BLOCK_BYTES = 2 << 20
-BLOCKS_A_TASK = 4
+BLOCKS_A_TASK = 2
 
 # White space as the tokenizer's pattern has it (Unicode's property).
 _WHITE = "".join(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
