@@ -283,8 +283,9 @@ def _score_documents(model: Model):
 def train(documents: DataFrame, labels: DataFrame, terms: DataFrame) -> Model:
     """A model from a bounded sample of labelled documents: the first MAX_DOCUMENTS by hash, MAX_LETTERS letters of them."""
     marks = labels.where("flagged IN (0, 1)").groupBy("doc_id").agg(F.max("flagged").alias("flagged"))
-    rows = marks.join(documents.select("doc_id", "text").where("text IS NOT NULL").distinct(), "doc_id")
-    sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_DOCUMENTS).collect()
+    some = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_DOCUMENTS)  # ids only; at most so many are broadcast
+    rows = documents.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(some), "doc_id").distinct()
+    sample = sorted(rows.collect(), key=lambda r: (hash((r["doc_id"], MAX_DOCUMENTS)), r["doc_id"]))
     texts, flags, letters = [], [], 0
     for r in sample:
         letters += len(r["text"])
