@@ -38,12 +38,13 @@ LANDMARKS = 420
 MAX_DOCUMENTS, MAX_LETTERS, MAX_PASSAGES = 2000, 1_500_000, 4000
 ROUNDS = 4
 #: How far below the machine's boundary a passage still counts as flagged.
-MARGIN = 0.1
+MARGIN = 0.0
 #: Standard deviations above its share of documents at which a subsequence speaks for a flag; weight of a flagged passage.
 SIGNIFICANT, HEAVIER = 2.0, 2.5
 #: Share of the clean passages that a flagged one must score above.
-ABOVE = 0.97
+ABOVE = 0.985
 _END, _DOC = "\x1e", "\x1f"
+_TURN = r"\[[0-9:.]+\]\s*\w{0,20}:"
 _HAN_END = r"[.!?…]+([\x{4E00}-\x{9FFF}])"
 _SENTENCE = r"[.!?…]+(\s|$)|[。！？；]+|[\r\n]+| / "
 
@@ -58,6 +59,7 @@ def offsets() -> list[tuple[tuple[int, ...], float]]:
 def stream(texts: pa.Array) -> np.ndarray:
     """The letters of all texts as code points, sentences and texts ended by marks."""
     formed = pc.utf8_lower(visual_forms(pc.fill_null(texts, "")))
+    formed = pc.replace_substring_regex(formed, _TURN, _END)
     marked = pc.replace_substring_regex(formed, _HAN_END, _END + r"\1")
     marked = pc.replace_substring_regex(marked, _SENTENCE, _END)
     marked = pc.replace_substring_regex(marked, r"([\x{4E00}-\x{9FFF}])", r"\1\1")  # a Han character says as much as two letters
