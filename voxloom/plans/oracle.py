@@ -98,7 +98,7 @@ r AS (SELECT pos, i, before, coalesce(CASE WHEN suffix = '' THEN english WHEN su
 
 _BY_SPEAKER = "b AS (SELECT speaker, count(*) AS utterances FROM utt_spk_text WHERE speaker IS NOT NULL GROUP BY speaker)"
 _HASH_SPLIT = f"WITH {_BY_SPEAKER}, o AS (SELECT *, row_number() OVER (ORDER BY md5('52' || chr(9) || speaker), speaker) AS k FROM b), s AS (SELECT speaker, utterances, CASE WHEN k <= 6 THEN 'test' WHEN k <= 9 THEN 'dev' ELSE 'train' END AS split FROM o) "
-_SAMPLE = "WITH k AS (SELECT DISTINCT file FROM replay WHERE source = 'librispeech'), d AS (SELECT file FROM k ORDER BY md5('52' || chr(9) || file), file LIMIT 100), s AS (SELECT file, (row_number() OVER (ORDER BY file) - 1) % 4 AS shard FROM d) "
+_SAMPLE = "WITH k AS (SELECT DISTINCT file FROM replay WHERE source = 'librispeech'), d AS (SELECT file FROM k ORDER BY md5('52' || chr(9) || file), file LIMIT 40), s AS (SELECT file, (row_number() OVER (ORDER BY file) - 1) % 4 AS shard FROM d) "
 _MARKS = "m AS (SELECT speaker, min(split) AS split FROM speaker_split GROUP BY speaker)"
 _RECORDS = f"WITH {_MARKS}, r AS MATERIALIZED (SELECT utterance, split, {_key('text')} AS key FROM utt_spk_text JOIN m USING (speaker) WHERE text IS NOT NULL)"
 _HELD = _RECORDS + ", h AS (SELECT * FROM r WHERE split <> 'train' OR key NOT IN (SELECT key FROM r WHERE split <> 'train')) "
@@ -214,13 +214,13 @@ def oracle_sql() -> dict[str, str]:
         "incremental_unlabelled": "SELECT DISTINCT audio AS file FROM transcript WHERE run = 'run-00000' AND audio NOT IN (SELECT audio FROM transcript WHERE run = 'run-00001')",
         "supported_languages": "SELECT language, count(*) AS rows FROM transcript WHERE language NOT IN ('English', 'Chinese', 'Spanish', 'French', 'German', 'Sinhala') GROUP BY language",
         "safe_members": "SELECT split_part(audio, '/', 3) AS folder, count(*) AS members FROM train WHERE pos % 17 <> 0 AND audio LIKE '/corpora/%' AND NOT list_contains(string_split(audio, '/'), '..') GROUP BY 1",
-        "tensor_blend": _VECTORS + _UNNESTED + "SELECT vec_id, \"at\", round((x * 0.25::FLOAT + y * 0.75::FLOAT)::DOUBLE, 4) AS x FROM u",
+        "tensor_blend": _VECTORS + _UNNESTED + "SELECT vec_id, \"at\", round(((x * 0.25::FLOAT)::FLOAT + (y * 0.75::FLOAT)::FLOAT)::DOUBLE, 4) AS x FROM u",
         "tensor_norm": "WITH n AS (SELECT sqrt(sum(x::DOUBLE * x::DOUBLE)) AS norm FROM (SELECT unnest(embedding) AS x FROM embeddings)) SELECT round(norm, 6) AS norm, round(least(1.0, 1.0 / (norm + 1e-6)), 9) AS scale FROM n",
         "tensor_cosine": _VECTORS + _UNNESTED + "SELECT vec_id, round(sum(x::DOUBLE * y) / sqrt(sum(x::DOUBLE * x) * sum(y::DOUBLE * y)), 9) AS cosine, round(sqrt(sum(x::DOUBLE * x) / sum(y::DOUBLE * y)), 9) AS ratio FROM u GROUP BY vec_id",
         "tensor_sums": "SELECT label, \"at\", round(sum(x::DOUBLE), 6) AS value FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS \"at\" FROM embeddings WHERE label IS NOT NULL) GROUP BY ALL",
         "tensor_quantise": _QUANT + "SELECT vec_id, part, round((CASE WHEN from_low THEN m ELSE -m END)::DOUBLE, 7) AS scale, round((CASE WHEN from_low THEN low ELSE high END)::DOUBLE, 6) AS bias, 8 AS words FROM q",
         "tensor_dequantise": "SELECT vec_id, true AS close FROM embeddings",
-        "adam_update": _VECTORS + _UNNESTED + "SELECT vec_id, \"at\", round((x - (0.001 / (1 - 0.9) * (0.1::FLOAT * y) / (sqrt(0.001 * y::DOUBLE * y) / sqrt(0.001) + 1e-8)))::DOUBLE, 4) AS x FROM u",
+        "adam_update": _VECTORS + _UNNESTED + ", m AS (SELECT vec_id, \"at\", x, (0.1::FLOAT * y)::FLOAT AS m, ((0.001::FLOAT * y)::FLOAT * y)::FLOAT AS v FROM u) SELECT vec_id, \"at\", round((x - ((0.01::FLOAT * m)::FLOAT / (sqrt(v::DOUBLE) / 0.03162277660168379::FLOAT::DOUBLE + 1e-8::FLOAT::DOUBLE))::FLOAT)::DOUBLE, 4) AS x FROM m",
         "sequence_agreement": f"WITH {_PAIRS}, w AS (SELECT run, audio, string_split(reference, ' ') AS a, string_split(hypothesis, ' ') AS b FROM pairs WHERE reference IS NOT NULL AND hypothesis IS NOT NULL), i AS (SELECT *, greatest(len(a), len(b)) AS n, list_filter(range(1, greatest(len(a), len(b)) + 1), lambda k: a[k] IS DISTINCT FROM b[k]) AS off FROM w) SELECT run, audio, off[1] - 1 AS first_mismatch, round((n - len(off)) / n, 9) AS share FROM i",
         "loss_parts": "WITH r AS (SELECT DISTINCT run, audio, milliseconds / 1000 AS loss, len(string_split(reference, ' ')) AS targets, coalesce(expected_language = 'Sinhala', false) AS is_new FROM transcript WHERE milliseconds IS NOT NULL AND reference IS NOT NULL), p AS (SELECT 'all' AS part, * FROM r UNION ALL SELECT CASE WHEN is_new THEN 'new' ELSE 'replay' END, * FROM r) SELECT part, round(sum(loss), 6) AS total, sum(targets)::BIGINT AS targets, round(sum(loss) / sum(targets), 9) AS mean FROM p GROUP BY part",
         "bench_totals": "WITH r AS (SELECT DISTINCT run, audio, milliseconds FROM transcript WHERE milliseconds IS NOT NULL) SELECT run, round(sum(milliseconds) / 1000, 6) AS seconds, round(count(*) / (sum(milliseconds) / 1000), 9) AS utterances_a_second, round(sum(milliseconds) / 1000 / count(*) * 232390 / 3600, 6) AS epoch_hours FROM r GROUP BY run",

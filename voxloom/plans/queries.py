@@ -154,7 +154,7 @@ def split_last_wins(s, d):
 
 def sample_sharded(s, d):
     files = T(s, d, "replay").where("source = 'librispeech'").select("file").distinct()
-    return speakers.hash_sample(files, "file", 100, SEED, 4)
+    return speakers.hash_sample(files, "file", 40, SEED, 4)
 
 
 def sample_speakers(s, d):
