@@ -2,18 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Code points from here stand for the words of a pair; up to 35,328 distinct words fit before the surrogates.
+#: Code points from here stand for the words of a pair with many; up to 35,328 distinct words fit before the surrogates.
 FIRST = 0x4E00
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once: a column that lambdas refer to is computed again for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def word_distance(a: Column, b: Column) -> Column:
     """Edit distance of two arrays of words: each distinct word of the pair becomes one code point."""
-    names = F.array_distinct(F.concat(a, b))
-    code = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(names, w) + F.lit(FIRST - 1)), 4, "0")), "UTF-16BE")
-    return F.levenshtein(F.array_join(F.transform(a, code), ""), F.array_join(F.transform(b, code), ""))
+    wide = lambda n: F.decode(F.unhex(F.lpad(F.hex(n + F.lit(FIRST - 1)), 4, "0")), "UTF-16BE")
+
+    def distance(names: Column) -> Column:
+        few = F.size(names) < 256
+        code = lambda w: F.when(few, F.char(F.array_position(names, w))).otherwise(wide(F.array_position(names, w)))
+        return F.levenshtein(F.array_join(F.transform(a, code), ""), F.array_join(F.transform(b, code), ""))
+
+    return let(F.array_distinct(F.concat(a, b)), distance)
 
 
 def error_rate(distance: Column, length: Column) -> Column:

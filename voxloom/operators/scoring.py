@@ -49,15 +49,18 @@ def pair_errors(pairs: DataFrame) -> DataFrame:
 def label_errors(pairs: DataFrame) -> DataFrame:
     """pairs (source, reference, hypothesis, ...) with error: by words, or characters, as the source says; glossed sources take the lesser error with and without glosses.
 
-    Pairs of other sources are left out, as are those with a null text. An empty reference gives null.
+    Pairs of other sources are left out, as are those with a null text. An empty reference gives null. length is the
+    number of words or characters that the error is a share of.
     """
     known = pairs.where("reference IS NOT NULL AND hypothesis IS NOT NULL").join(F.broadcast(sources(pairs.sparkSession)), "source")
     scored = pair_errors(known.select(*pairs.columns, "by_character", "glossed"))
-    rate = _rate(F.col("by_character"))
-    scored = scored.select(*pairs.columns, "by_character", "glossed", rate.alias("plain"))
-    bare = scored.withColumn("whole", F.col("reference")).withColumn("reference", F.when(F.col("glossed"), X.without_glosses(F.col("reference"))).otherwise(F.lit("")))
-    both = pair_errors(bare).withColumn("bare", F.when(F.col("glossed"), rate)).withColumn("reference", F.col("whole"))
-    return both.select(*pairs.columns, F.least("plain", "bare").alias("error"))
+    rate, glossed = _rate(F.col("by_character")), F.col("glossed")
+    length = F.when(F.col("by_character"), F.col("characters")).otherwise(F.col("words"))
+    scored = scored.select(*pairs.columns, "by_character", "glossed", rate.alias("plain"), length.alias("length"))
+    # the second scoring is for glossed pairs only; the others have nulls in it, which cost nothing
+    bare = scored.select("*", F.col("reference").alias("whole"), F.col("hypothesis").alias("said")).withColumn("reference", F.when(glossed, X.without_glosses(F.col("reference")))).withColumn("hypothesis", F.when(glossed, F.col("hypothesis")))
+    both = pair_errors(bare).withColumn("bare", rate).withColumn("reference", F.col("whole")).withColumn("hypothesis", F.col("said"))
+    return both.select(*pairs.columns, "length", F.least("plain", "bare").alias("error"))
 
 
 def _rate(by_character: Column) -> Column:
