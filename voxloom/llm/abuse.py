@@ -34,7 +34,9 @@ SUB, SPAN, DECAY = 3, 5, 0.6
 TABLE = 1 << 20
 #: Letters in a window of a long sentence, and from one to the next.
 WINDOW, STRIDE = 60, 30
-LANDMARKS = 420
+LANDMARKS = 300
+#: Flagged passages that landmarks are chosen among.
+POOL = 700
 MAX_DOCUMENTS, MAX_LETTERS, MAX_PASSAGES = 2000, 1_500_000, 4000
 ROUNDS = 4
 #: How far below the machine's boundary a passage still counts as flagged.
@@ -168,7 +170,11 @@ def fit(texts: list[str], flagged: list[int], terms: list[str], seed: int = 0) -
             return none
         used = np.concatenate([top, np.flatnonzero(y == 0)])
         target = np.where(y[used] == 1, 1.0, -1.0)
-        marks = _landmarks(top, score, np.flatnonzero(y == 0), LANDMARKS if turn == ROUNDS - 1 else LANDMARKS // 2, rng)
+        n = LANDMARKS if turn == ROUNDS - 1 else LANDMARKS * 2 // 3
+        pool = rng.permutation(top)[:POOL]
+        spread = pool[_diverse(_among(own, sub, val, norm, pool), n * 3 // 5)]
+        hard = np.flatnonzero(y == 0)[np.argsort(-score[y == 0], kind="stable")]
+        marks = np.unique(np.concatenate([spread, hard[: n // 5], rng.permutation(hard[n // 5 :])[: n // 5]]))
         kernel = _kernel(own, sub, val, norm, marks, len(rows))
         among = kernel[marks]
         value, vector = np.linalg.eigh((among + among.T) / 2)
@@ -221,13 +227,29 @@ def _chosen(score: np.ndarray, doc: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate([best, rows[score[rows] > max(bar, 0)]]))
 
 
-def _landmarks(top: np.ndarray, score: np.ndarray, clean: np.ndarray, n: int, rng) -> np.ndarray:
-    """Half of the flagged passages; of the clean ones half those that score highest and half by chance."""
-    half = n // 2
-    a = rng.permutation(top)[:half]
-    hard = clean[np.argsort(-score[clean], kind="stable")[: half // 2]]
-    b = rng.permutation(np.setdiff1d(clean, hard))[: half - len(hard)]
-    return np.unique(np.concatenate([a, hard, b]))
+def _diverse(kernel: np.ndarray, n: int) -> np.ndarray:
+    """n members that span the others best, by pivoted Cholesky decomposition of their kernel: rare kinds get their landmarks."""
+    left = kernel.diagonal().copy()
+    n = min(n, len(left))
+    columns, chosen = np.zeros((len(left), n)), []
+    for k in range(n):
+        i = int(np.argmax(left))
+        if left[i] < 1e-6:
+            break
+        columns[:, k] = (kernel[:, i] - columns[:, :k] @ columns[i, :k]) / np.sqrt(left[i])
+        left = np.maximum(0, left - columns[:, k] ** 2)
+        left[i] = 0
+        chosen.append(i)
+    return np.array(chosen, np.int64)
+
+
+def _among(own, sub, val, norm, pool: np.ndarray) -> np.ndarray:
+    """Normalised kernel values among the passages of a pool."""
+    at = np.full(len(norm), -1)
+    at[pool] = np.arange(len(pool))
+    mine = np.flatnonzero(at[own] >= 0)
+    mine = mine[np.argsort(at[own[mine]], kind="stable")]
+    return _kernel(at[own[mine]], sub[mine], val[mine], norm[pool], np.arange(len(pool)), len(pool))
 
 
 def _kernel(own, sub, val, norm, marks, n) -> np.ndarray:

@@ -142,8 +142,8 @@ def p7_sizes(spark: SparkSession, d: str) -> DataFrame:
     return sizes
 
 
-_TORN_SQL = """
-WITH s AS (SELECT lower(trim(translate(speaker, '０１２３４５６７８９ａｂｃｄｅｆＡＢＣＤＥＦ' || chr(160) || chr(12288), '0123456789abcdefabcdef  '))) AS speaker, split FROM speaker_split WHERE speaker IS NOT NULL)
+_TORN_SQL = r"""
+WITH s AS (SELECT lower(trim(translate(regexp_replace(speaker, '[\x{AD}\x{200B}-\x{200F}\x{2060}\x{FEFF}]', '', 'g'), '０１２３４５６７８９ａｂｃｄｅｆＡＢＣＤＥＦ' || chr(160) || chr(12288), '0123456789abcdefabcdef  '))) AS speaker, split FROM speaker_split WHERE speaker IS NOT NULL)
 SELECT speaker FROM s WHERE speaker <> '' GROUP BY speaker HAVING count(DISTINCT split) > 1
 """
 
