@@ -35,13 +35,13 @@ FROM {t}
 GRAMS = """
 WITH texts AS (SELECT split(h, ' ') AS w FROM {w} WHERE h <> '' UNION ALL SELECT split(r, ' ') AS w FROM {w} WHERE r <> ''),
 grams AS (
-  SELECT explode(transform(sequence(1, greatest(1, size(w) - {n} + 1)), i -> struct(xxhash64(array_join(slice(w, i, {n}), ' ')) AS g, i > size(w) - {n} AS at_end))) AS x
+  SELECT explode(transform(sequence(1, greatest(1, size(w) - {n} + 1)), i -> struct(xxhash64(slice(w, i, {n})) AS g, i > size(w) - {n} AS at_end))) AS x
   FROM texts)
 SELECT x.g AS g, count_if(NOT x.at_end) AS inside, count_if(x.at_end) AS ends FROM grams GROUP BY x.g
 """
 
 FINAL = """
-WITH f AS (SELECT *, xxhash64(array_join(slice(split(h, ' '), greatest(1, size(split(h, ' ')) - 2), 3), ' ')) AS g FROM {w} WHERE h <> '')
+WITH f AS (SELECT *, xxhash64(slice(split(h, ' '), greatest(1, size(split(h, ' ')) - 2), 3)) AS g FROM {w} WHERE h <> '')
 SELECT f.*, c.inside, c.ends - 1 AS ends FROM f JOIN {counts} c ON f.g = c.g
 WHERE (c.ends - 1) * 100 <= {almost_never} * (c.inside + c.ends - 1)
    OR r <> '' AND slice(split(r, ' '), greatest(1, size(split(r, ' ')) - 2), 3) <> slice(split(h, ' '), greatest(1, size(split(h, ' ')) - 2), 3)
@@ -78,8 +78,8 @@ WITH c AS (SELECT *, split(h, ' ') AS w, length(hypothesis) AS chars, octet_leng
 judged AS (
   SELECT c.*,
     EXISTS (SELECT 1 FROM {limits} l WHERE l.run = c.run AND l.source = c.source AND l.size = IF(l.unit = 'chars', c.chars, c.bytes)) AS at_limit,
-    EXISTS (SELECT 1 FROM {two} g WHERE g.g = xxhash64(array_join(slice(c.w, greatest(1, size(c.w) - 1), 2), ' ')) AND g.inside >= {frequent} AND (g.ends - 1) * 100 <= {almost_never} * g.inside) AS two,
-    EXISTS (SELECT 1 FROM {one} g WHERE g.g = xxhash64(element_at(c.w, -1)) AND g.inside >= {frequent} AND (g.ends - 1) * 100 <= {almost_never} * g.inside) AS one
+    EXISTS (SELECT 1 FROM {two} g WHERE g.g = xxhash64(slice(c.w, greatest(1, size(c.w) - 1), 2)) AND g.inside >= {frequent} AND (g.ends - 1) * 100 <= {almost_never} * g.inside) AS two,
+    EXISTS (SELECT 1 FROM {one} g WHERE g.g = xxhash64(slice(c.w, size(c.w), 1)) AND g.inside >= {frequent} AND (g.ends - 1) * 100 <= {almost_never} * g.inside) AS one
   FROM c)
 SELECT run, audio FROM judged
 WHERE size(w) > 1 AND (at_limit OR ((two OR one OR (inside >= {frequent} AND ends * 100 <= {almost_never} * inside)) AND NOT regexp_like(hypothesis, '[.!?\\\\x{{3002}}\\\\x{{FF01}}\\\\x{{FF1F}}]$'))
