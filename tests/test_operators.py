@@ -50,9 +50,10 @@ def test_splits(spark):
         speakers.seeded_sample([1, 2], 3, 52)
 
 
-def test_epoch_order_pinned(spark):
-    a = speakers.epoch_order(500, 1, 0)
-    assert sorted(a) == list(range(500)) and a == speakers.epoch_order(500, 1, 0) != speakers.epoch_order(500, 1, 1)
+def test_epoch_order_pinned():
+    a, b = (speakers.epoch_order(500, 7, e) for e in (0, 1))
+    assert sorted(a) == list(range(500)) and a[:5] == [238, 384, 250, 140, 481] and b[:5] == [215, 262, 87, 138, 340]
+    assert a != speakers.epoch_order(500, 8, 0)
 
 
 def test_hold_out(spark):
@@ -149,6 +150,31 @@ def test_checks(spark):
     checks.enforce(checks.repeated(a, "name"))
 
 
+def test_quantised_values_come_back(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(64)]) for i in range(20)] + [(20, [0.0] * 64)]
+    df = spark.createDataFrame(rows, "k int, v array<float>")
+    got = tensors.quantised(df, "k", "v", 32, 8).withColumn("back", tensors.dequantised(F.col("levels"), F.col("scale"), F.col("bias"))).collect()
+    own = dict(rows)
+    for r in got:
+        assert max(abs(a - b) for a, b in zip(r.back, own[r.k][r.part * 32 : r.part * 32 + 32], strict=True)) <= abs(r.scale) * 0.5001 + 1e-6
+        assert [(w >> (8 * i)) & 255 for w in r.packed for i in range(4)] == list(r.levels)
+
+
+def test_language_is_added_once(spark):
+    from voxloom.functions import text as X
+
+    df = spark.createDataFrame([('{"support_languages":["A"]}',), ('{"support_languages":["Sinhala"]}',)], "c string")
+    assert rows(df.select(X.with_language(F.col("c"), "Sinhala"))) == [('{"support_languages":["A","Sinhala"]}',), ('{"support_languages":["Sinhala"]}',)]
+
+
+def test_right_padding(spark):
+    df = spark.createDataFrame([([1.0],), ([1.0, 2.0, 3.0],)], "x array<float>")
+    assert rows(df.select(B.right_padded(F.col("x"), 2))) == [([1.0, 0.0],), ([1.0, 2.0, 3.0],)]
+
+
 def test_git_id(spark):
     df = spark.createDataFrame([(bytearray(b"hello\n"),)], "c binary")
     assert df.select(manifest.git_id(F.col("c"))).first()[0] == "ce013625030ba8dba906f756967f9e9ca394464a"

@@ -108,3 +108,9 @@ def flat_line(text: Column) -> Column:
 
 def audio_path(folder: str, utterance: Column) -> Column:
     return F.concat_ws("/", F.lit(folder), F.lit("data"), F.substring(utterance, 1, 2), F.concat(utterance, F.lit(".flac")))
+
+
+def with_language(config: Column, language: str) -> Column:
+    """A JSON configuration whose list of languages holds the language; added at the end if it's absent."""
+    listed = F.from_json(config, "support_languages array<string>")["support_languages"]
+    return F.to_json(F.struct(F.array_union(listed, F.array(F.lit(language))).alias("support_languages")))

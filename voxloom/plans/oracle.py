@@ -214,6 +214,12 @@ def oracle_sql() -> dict[str, str]:
         "incremental_unlabelled": "SELECT DISTINCT audio AS file FROM transcript WHERE run = 'run-00000' AND audio NOT IN (SELECT audio FROM transcript WHERE run = 'run-00001')",
         "supported_languages": "SELECT language, count(*) AS rows FROM transcript WHERE language NOT IN ('English', 'Chinese', 'Spanish', 'French', 'German', 'Sinhala') GROUP BY language",
         "safe_members": "SELECT split_part(audio, '/', 3) AS folder, count(*) AS members FROM train WHERE pos % 17 <> 0 AND audio LIKE '/corpora/%' AND NOT list_contains(string_split(audio, '/'), '..') GROUP BY 1",
+        "manifest_wanted": "WITH l AS (SELECT doc_id::VARCHAR AS path, octet_length(encode(text)) AS size, md5(text) AS oid, CASE WHEN octet_length(encode(text)) > 2000 THEN sha256(text) END AS lfs FROM documents WHERE text IS NOT NULL AND doc_id % 10 <> 3), w AS (SELECT doc_id::VARCHAR AS path FROM documents WHERE text IS NOT NULL AND doc_id % 2 = 1) SELECT w.path, size, CASE WHEN lfs IS NOT NULL THEN 'sha256' WHEN oid IS NOT NULL THEN 'git' END AS kind, coalesce(lfs, oid) AS expected FROM w LEFT JOIN l ON l.path = w.path",
+        "reference_mismatch": "WITH l AS (SELECT DISTINCT source, file FROM replay WHERE source IS NOT NULL), t AS (SELECT DISTINCT source, string_split(audio, '/')[-1] AS file FROM train WHERE source IN (SELECT source FROM l)) SELECT source, 'no record' AS problem, count(*) AS files FROM (SELECT * FROM l EXCEPT SELECT * FROM t) GROUP BY source UNION ALL SELECT source, 'no label', count(*) FROM (SELECT * FROM t EXCEPT SELECT * FROM l) GROUP BY source",
+        "tolerance_gates": _tally("run, source") + ", own AS (SELECT run, sum(utterances) AS u, sum(character_errors) AS e FROM tallies GROUP BY run), theirs AS (SELECT run, sum(utterances) AS u, sum(character_errors) AS e FROM (SELECT DISTINCT * FROM error_tally) GROUP BY run) SELECT run, own.u = theirs.u AS same_count, abs(own.e - theirs.e) <= 0.01 * greatest(own.e, theirs.e, 1) AS close FROM own JOIN theirs USING (run)",
+        "table_invariants": rf"WITH f AS (SELECT string_split(line, chr(9)) AS f FROM loanword_lines WHERE line IS NOT NULL), w AS (SELECT {_clean('f[1]')} AS word, f[3] AS english, trim(f[4], chr(8205) || chr(8204)) AS suffix FROM f WHERE len(f) = 4 AND f[2] IN ('E', 'N', 'P')), p AS (SELECT CASE WHEN NOT regexp_full_match(word, '[\x{{0D80}}-\x{{0DFF}}\x{{200D}}]+') THEN 'word of other letters' WHEN NOT regexp_matches(english, '^[A-Za-z]') THEN 'english begins otherwise' WHEN NOT regexp_full_match(suffix, '[\x{{0D80}}-\x{{0DFF}}\x{{200D}}]*') THEN 'suffix of other letters' END AS reason FROM w) SELECT reason, count(*) AS rows FROM p WHERE reason IS NOT NULL GROUP BY reason",
+        "first_records": "SELECT pos, audio FROM train ORDER BY pos LIMIT 100",
+        "language_lists": "WITH l AS (SELECT run, list_sort(list_distinct(list(language))) AS x FROM transcript WHERE language IS NOT NULL GROUP BY run) SELECT run, '{\"support_languages\":[' || list_aggregate(list_transform(CASE WHEN list_contains(x, 'Sinhala') THEN x ELSE list_append(x, 'Sinhala') END, lambda e: '\"' || e || '\"'), 'string_agg', ',') || ']}' AS config FROM l",
         "tensor_blend": _VECTORS + _UNNESTED + "SELECT vec_id, \"at\", round(((x * 0.25::FLOAT)::FLOAT + (y * 0.75::FLOAT)::FLOAT)::DOUBLE, 4) AS x FROM u",
         "tensor_norm": "WITH n AS (SELECT sqrt(sum(x::DOUBLE * x::DOUBLE)) AS norm FROM (SELECT unnest(embedding) AS x FROM embeddings)) SELECT round(norm, 6) AS norm, round(least(1.0, 1.0 / (norm + 1e-6)), 9) AS scale FROM n",
         "tensor_cosine": _VECTORS + _UNNESTED + "SELECT vec_id, round(sum(x::DOUBLE * y) / sqrt(sum(x::DOUBLE * x) * sum(y::DOUBLE * y)), 9) AS cosine, round(sqrt(sum(x::DOUBLE * x) / sum(y::DOUBLE * y)), 9) AS ratio FROM u GROUP BY vec_id",

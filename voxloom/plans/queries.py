@@ -430,6 +430,61 @@ def safe_members(s, d):
     return manifest.safe_members(members, "corpora").groupBy(F.split("name", "/")[1].alias("folder")).agg(F.count("*").alias("members"))
 
 
+def manifest_wanted(s, d):
+    """Wanted files in a listing: large ones by sha256, others by git id, some not listed."""
+    listing = T(s, d, "documents").where("text IS NOT NULL AND doc_id % 10 <> 3").select(F.col("doc_id").cast("string").alias("path"), F.octet_length("text").alias("size"), F.md5("text").alias("oid"), F.when(F.octet_length("text") > 2000, F.sha2("text", 256)).alias("lfs_oid"))
+    wanted = T(s, d, "documents").where("text IS NOT NULL AND doc_id % 2 = 1").select(F.col("doc_id").cast("string").alias("path"))
+    return manifest.wanted(listing, wanted)
+
+
+def reference_mismatch(s, d):
+    """Replay files without a record in training, and those of training that aren't in replay, per source."""
+    labels = T(s, d, "replay").where("source IS NOT NULL").select("source", "file")
+    records = T(s, d, "train").where("source IS NOT NULL").select("source", F.element_at(F.split("audio", "/"), -1).alias("file")).join(labels.select("source").distinct(), "source", "left_semi")
+    keys = ["source", "file"]
+    one = labels.distinct().join(records, keys, "left_anti").select("source", F.lit("no record").alias("problem"))
+    other = records.distinct().join(labels, keys, "left_anti").select("source", F.lit("no label").alias("problem"))
+    return one.union(other).groupBy("source", "problem").agg(F.count("*").alias("files"))
+
+
+def tolerance_gates(s, d):
+    """Checks of each run against the tallies of the evaluation: equal counts, and errors within a hundredth."""
+    own = scoring.tally(_pairs(s, d), "run", "source").groupBy("run").agg(F.sum("utterances").alias("utterances"), F.sum("character_errors").alias("errors"))
+    theirs = T(s, d, "error_tally").distinct().groupBy("run").agg(F.sum("utterances").alias("counted"), F.sum("character_errors").alias("summed"))
+    close = F.abs(F.col("errors") - F.col("summed")) <= 0.01 * F.greatest("errors", "summed", F.lit(1))
+    return own.join(theirs, "run").select("run", (F.col("utterances") == F.col("counted")).alias("same_count"), close.alias("close"))
+
+
+def table_invariants(s, d):
+    """Rows of classified words that break the table's invariants, by invariant."""
+    rows = readers.loanwords(T(s, d, "loanword_lines").select("path", F.col("line_no").alias("pos"), "line")).where("problem IS NULL")
+    rules = [("word of other letters", ~F.col("word").rlike(r"^[\x{0D80}-\x{0DFF}\x{200D}]+$")), ("english begins otherwise", ~F.col("english").rlike("^[A-Za-z]")), ("suffix of other letters", ~F.col("suffix").rlike(r"^[\x{0D80}-\x{0DFF}\x{200D}]*$"))]
+    return checks.problems(rows, rules, "path", "pos").groupBy("reason").agg(F.count("*").alias("rows"))
+
+
+def first_records(s, d):
+    """The first records of training in their order."""
+    return T(s, d, "train").orderBy("pos").limit(100).select("pos", "audio")
+
+
+def language_lists(s, d):
+    """Configurations with a language added to their list, once."""
+    rows = T(s, d, "transcript").where("language IS NOT NULL").groupBy("run").agg(F.to_json(F.struct(F.array_sort(F.collect_set("language")).alias("support_languages"))).alias("config"))
+    return rows.select("run", X.with_language(F.col("config"), "Sinhala").alias("config"))
+
+
+def epoch_order(s, d):
+    """The order of training records in the second epoch, as places."""
+    n = T(s, d, "train").count()
+    return s.createDataFrame(list(enumerate(speakers.epoch_order(n, SEED, 1))), "place long, record long")
+
+
+def epoch_sample(s, d):
+    """A seeded sample of training records: the first of the first epoch's order."""
+    n = T(s, d, "train").count()
+    return s.createDataFrame([(i,) for i in speakers.epoch_order(n, SEED, 0)[:20]], "record long")
+
+
 # arrays of numbers
 
 
@@ -539,7 +594,7 @@ _ALL = (
     speaker_counts, speaker_split_hash, speaker_split_sizes, speaker_split_mt, split_last_wins, sample_sharded, sample_speakers, sentence_keys, new_sentences, hold_out, new_after_hold_out, split_counters, missing_speakers, clean_text, record_paths, replay_paths, audio_present,
     label_errors, word_errors, error_tally, error_rates, stale_tallies, language_report, languages, replay_summary, replay_summary_lines, replay_cut, gloss_free, flat_hypotheses, shared_words,
     epoch_steps, token_budget_pack, step_totals, pad_layout, prompt_targets, audio_tokens, clip_features, chunk_windows, window_cells, audio_offsets, lr_schedule, eval_steps, checkpoint_retention,
-    settings_diff, manifest_verify, file_digests, ordered_digest, duplicate_labels, data_quality, incremental_unlabelled, supported_languages, safe_members,
+    settings_diff, manifest_verify, file_digests, ordered_digest, duplicate_labels, data_quality, incremental_unlabelled, supported_languages, safe_members, manifest_wanted, reference_mismatch, tolerance_gates, table_invariants, first_records, language_lists, epoch_order, epoch_sample,
     tensor_blend, tensor_norm, tensor_cosine, tensor_sums, tensor_quantise, tensor_dequantise, adam_update, rounded_half_width, sequence_agreement, loss_parts, bench_totals, export_totals, weight_keys,
     p5_found, p5_labels, p5_loanwords,
 )
