@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,8 +30,11 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or where that is unset a folder made for this session (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = getattr(spark, "_voxloom_folder", None) or "file://" + tempfile.mkdtemp(prefix="voxloom-")
-        spark._voxloom_folder = folder
+        folder = getattr(spark, "_voxloom_folder", None)
+        if not folder:
+            own = tempfile.mkdtemp(prefix="voxloom-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+            folder = spark._voxloom_folder = "file://" + own
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -46,5 +52,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shipped(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for each context, so that they need no copy of their own."""
+    context = spark.sparkContext
+    if not getattr(context, "_voxloom_shipped", False):
+        context._voxloom_shipped = True
+        own = tempfile.mkdtemp(prefix="voxloom-package-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        package = Path(__file__).resolve().parent
+        context.addPyFile(shutil.make_archive(f"{own}/voxloom", "zip", package.parent, package.name))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    shipped(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
