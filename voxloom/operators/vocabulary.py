@@ -82,3 +82,15 @@ def rewrites(utterances: DataFrame, loanwords: DataFrame, particles: tuple[str,
     table = loanwords.select("word", new.alias("new")).where("new IS NOT NULL").dropDuplicates(["word"])
     said = utterances.select("pos", F.posexplode(F.split(X.clean(F.col("text")), " ")).alias("at", "word")).where("word <> ''")
     return said.join(table, "word", "left").select("pos", "at", F.col("word").alias("before"), F.coalesce("new", "word").alias("after"))
+
+
+def written(utterances: DataFrame, loanwords: DataFrame, particles: tuple[str, ...] = X.PARTICLES) -> DataFrame:
+    """utterances (pos, text, ...) that have a word, with cleaned and written: their text clean, and with loanwords rewritten.
+
+    pos tells utterances apart. Only words that change are brought back to their utterances.
+    """
+    changed = rewrites(utterances, loanwords, particles).where("before <> after")
+    changes = changed.groupBy("pos").agg(F.map_from_entries(F.collect_list(F.struct("at", "after"))).alias("changes"))
+    rows = utterances.withColumn("cleaned", X.clean(F.col("text"))).where("cleaned <> ''").join(changes, "pos", "left")
+    words = F.transform(F.split("cleaned", " "), lambda w, i: F.coalesce(F.try_element_at("changes", i), w))
+    return rows.withColumn("written", F.when(F.col("changes").isNull(), F.col("cleaned")).otherwise(F.array_join(words, " "))).drop("changes")

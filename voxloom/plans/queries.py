@@ -165,14 +165,20 @@ def sample_speakers(s, d):
 # splits and leakage
 
 
+def _written(s, d):
+    """Utterances that have a word, with their text as training writes it: clean, loanwords in English."""
+    return V.written(_utterances(s, d), _loanwords(s, d))
+
+
 def _records(s, d):
+    """Written records with their split and the key of what is written; kept, for train and evaluation rows are read apart."""
     marks = T(s, d, "speaker_split").groupBy("speaker").agg(F.min("split").alias("split"))
-    rows = _utterances(s, d).where("text IS NOT NULL").join(marks, "speaker")
-    return leakage.keyed(rows.select("utterance", "split", "text"))
+    rows = _written(s, d).join(marks, "speaker")
+    return stored(leakage.keyed(rows.select("utterance", "split", F.col("written").alias("text"))).drop("text"), "records")
 
 
 def sentence_keys(s, d):
-    return _utterances(s, d).where("text IS NOT NULL").select("pos", X.sentence_key(F.col("text")).alias("key"))
+    return _written(s, d).select("pos", X.sentence_key(F.col("written")).alias("key"))
 
 
 def new_sentences(s, d):
