@@ -90,3 +90,25 @@ def test_sentences_are_compared_as_written(spark, folder):
 
 def test_crafted_train_rows_left(spark, crafted):
     assert [u for u, s in answer(spark, crafted, "hold_out", "utterance", "split") if s == "train"] == ["u12", "u13"]
+
+
+def test_every_utterance_is_rewritten(spark, folder):
+    rows = expected(folder)
+    changed = [(pos, " ".join(before), " ".join(after)) for pos, _, _, before, after in rows]
+    assert answer(spark, folder, "word_rewrite", "pos", "rewritten") == sorted((pos, after) for pos, before, after in changed if before != after)
+    times = Counter((b, a) for *_, before, after in rows for b, a in zip(before, after, strict=True) if b != a)
+    assert answer(spark, folder, "rewrite_counts", "before", "after", "times") == sorted((*k, n) for k, n in times.items())
+
+
+def test_split_counters(spark, folder):
+    rows = expected(folder)
+    keyed, kept, _ = held(rows)
+    got = {r.split: r for r in queries.queries()["split_counters"](spark, folder).collect()}
+    of = lambda found: Counter(s or "none" for s in found)
+    written, rewritten = of(s for _, _, s, _, _ in rows), of(s for _, _, s, before, after in rows if before != after)
+    assert all((r.written, r.rewritten) == (written[s], rewritten[s]) and r.rows == r.empty + r.written for s, r in got.items())
+    assert {s: r.held_out for s, r in got.items() if r.held_out} == {s: n for s, n in (of(s for _, s, _ in keyed) - of(s for _, s in kept)).items() if n}
+    audios = {a for (a,) in duckdb.execute(f"SELECT audio FROM read_parquet('{folder}/train.parquet')").fetchall()}
+    own = duckdb.execute(f"SELECT speaker, '/corpora/' || source || '/data/' || substring(utterance, 1, 2) || '/' || utterance || '.flac' FROM read_parquet('{folder}/utt_spk_text.parquet')").fetchall()
+    marks = dict(duckdb.execute(f"SELECT speaker, min(split) FROM read_parquet('{folder}/speaker_split.parquet') GROUP BY speaker").fetchall())
+    assert {s: r.missing_audio for s, r in got.items()} == {s: of(marks.get(p) for p, a in own if a not in audios)[s] for s in got}

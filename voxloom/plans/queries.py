@@ -119,12 +119,11 @@ def _loanwords(s, d):
 
 
 def word_rewrite(s, d):
-    rows = V.rewritten(_word_lists(s, d), _loanwords(s, d))
-    return rows.where("text <> rewritten").select("pos", "rewritten")
+    return _written(s, d).where("cleaned <> written").select("pos", F.col("written").alias("rewritten"))
 
 
 def rewrite_counts(s, d):
-    return V.rewrites(_word_lists(s, d), _loanwords(s, d)).where("before <> after").groupBy("before", "after").agg(F.count("*").alias("times"))
+    return V.rewrites(_utterances(s, d), _loanwords(s, d)).where("before <> after").groupBy("before", "after").agg(F.count("*").alias("times"))
 
 
 # speakers
@@ -194,11 +193,21 @@ def new_after_hold_out(s, d):
 
 
 def split_counters(s, d):
-    """Per split: rows, empty after cleaning, without a split of the speaker's."""
+    """Per split: rows, empty after cleaning, written (the others), rewritten and held out of these, and rows without a recording in training.
+
+    Rewritten and written are before holding out; a missing recording takes no row away.
+    """
     marks = T(s, d, "speaker_split").groupBy("speaker").agg(F.min("split").alias("split"))
-    rows = _utterances(s, d).join(marks, "speaker", "left").withColumn("cleaned", X.clean(F.col("text")))
-    empty = F.coalesce(F.col("cleaned"), F.lit("")) == ""
-    return rows.groupBy(F.coalesce("split", F.lit("none")).alias("split")).agg(F.count("*").alias("rows"), F.count_if(empty).alias("empty"), F.count_if(~empty).alias("written"))
+    recorded = T(s, d, "train").select(F.col("audio").alias("own")).where("own IS NOT NULL").distinct().withColumn("recorded", F.lit(True))
+    own = F.concat(F.lit("/corpora/"), "source", F.lit("/data/"), F.substring("utterance", 1, 2), F.lit("/"), "utterance", F.lit(".flac"))
+    new = _written(s, d).select("pos", (F.col("cleaned") != F.col("written")).alias("rewritten"), X.sentence_key(F.col("written")).alias("key"))
+    rows = _utterances(s, d).withColumn("own", own).join(marks, "speaker", "left").join(recorded, "own", "left").join(new, "pos", "left")
+    rows = stored(rows.select(F.coalesce("split", F.lit("none")).alias("split"), F.coalesce("rewritten", F.lit(False)).alias("rewritten"), "key", F.col("recorded").isNull().alias("missing")), "counted")
+    evaluated = rows.where("split NOT IN ('none', 'train')").select("key").distinct().withColumn("evaluated", F.lit(True))
+    empty, held = F.col("key").isNull(), (F.col("split") == "train") & F.col("evaluated")
+    return rows.join(evaluated, "key", "left").groupBy("split").agg(
+        F.count("*").alias("rows"), F.count_if(empty).alias("empty"), F.count_if(~empty).alias("written"), F.count_if("rewritten").alias("rewritten"), F.count_if(held).alias("held_out"), F.count_if("missing").alias("missing_audio"),
+    )
 
 
 def missing_speakers(s, d):
