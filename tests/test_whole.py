@@ -112,3 +112,15 @@ def test_split_counters(spark, folder):
     own = duckdb.execute(f"SELECT speaker, '/corpora/' || source || '/data/' || substring(utterance, 1, 2) || '/' || utterance || '.flac' FROM read_parquet('{folder}/utt_spk_text.parquet')").fetchall()
     marks = dict(duckdb.execute(f"SELECT speaker, min(split) FROM read_parquet('{folder}/speaker_split.parquet') GROUP BY speaker").fetchall())
     assert {s: r.missing_audio for s, r in got.items()} == {s: of(marks.get(p) for p, a in own if a not in audios)[s] for s in got}
+
+
+def test_unlabelled_of_every_run(spark, data):
+    labels = set(duckdb.execute(f"SELECT run, audio FROM read_parquet('{data}/transcript.parquet')").fetchall())
+    runs, audios = ({x[i] for x in labels} for i in (0, 1))
+    assert answer(spark, data, "incremental_unlabelled", "run", "file") == sorted((r, a) for r in runs for a in audios if (r, a) not in labels)
+
+
+def test_every_document_is_wanted(spark, tmp_path):
+    duckdb.execute(f"COPY (SELECT i::BIGINT AS doc_id, CASE WHEN i <> 4 THEN repeat('x', i::INT * 500) END AS text FROM range(8) t(i)) TO '{tmp_path}/documents.parquet'")
+    got = answer(spark, str(tmp_path), "manifest_wanted", "path", "kind", "size")
+    assert got == [(str(i), None if i == 4 else "sha256" if i > 4 else "git", None if i == 4 else 500 * i) for i in range(8)]

@@ -429,9 +429,9 @@ def data_quality(s, d):
 
 
 def incremental_unlabelled(s, d):
-    """Evaluation recordings of one run that another has no transcript of."""
+    """Evaluation recordings that a run has no transcript of, of every run."""
     runs = T(s, d, "transcript").select(F.col("audio").alias("file"), "run")
-    return labelling.unlabelled(runs.where("run = 'run-00000'"), runs.where("run = 'run-00001'"))
+    return labelling.unlabelled(runs, runs, "run").select("run", "file")
 
 
 def supported_languages(s, d):
@@ -446,10 +446,10 @@ def safe_members(s, d):
 
 
 def manifest_wanted(s, d):
-    """Wanted files in a listing: large ones by sha256, others by git id, some not listed."""
-    listing = T(s, d, "documents").where("text IS NOT NULL AND doc_id % 10 <> 3").select(F.col("doc_id").cast("string").alias("path"), F.octet_length("text").alias("size"), F.md5("text").alias("oid"), F.when(F.octet_length("text") > 2000, F.sha2("text", 256)).alias("lfs_oid"))
-    wanted = T(s, d, "documents").where("text IS NOT NULL AND doc_id % 2 = 1").select(F.col("doc_id").cast("string").alias("path"))
-    return manifest.wanted(listing, wanted)
+    """All documents in a listing of those with text: large ones by sha256, others by git id; those without text aren't listed."""
+    documents = T(s, d, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")
+    listing = documents.where("text IS NOT NULL").select("path", F.octet_length("text").alias("size"), F.md5("text").alias("oid"), F.when(F.octet_length("text") > 2000, F.sha2("text", 256)).alias("lfs_oid"))
+    return manifest.wanted(listing, documents.select("path"))
 
 
 def reference_mismatch(s, d):

@@ -30,9 +30,12 @@ def label_new(spark: SparkSession, inbox: str, schema: str, labels: str, checkpo
     query.awaitTermination()
 
 
-def unlabelled(recordings: DataFrame, labels: DataFrame) -> DataFrame:
-    """Recordings (file) without a label."""
-    return recordings.select("file").distinct().join(labels.select("file"), "file", "left_anti")
+def unlabelled(recordings: DataFrame, labels: DataFrame, *by: str) -> DataFrame:
+    """Recordings (file) without a label; of each set of labels that by names, if it is given."""
+    wanted = recordings.select("file").distinct()
+    if by:
+        wanted = wanted.crossJoin(labels.select(*by).distinct())
+    return wanted.join(labels.select("file", *by), ["file", *by], "left_anti")
 
 
 def resumed(contents: DataFrame) -> DataFrame:
