@@ -124,3 +124,28 @@ def test_every_document_is_wanted(spark, tmp_path):
     duckdb.execute(f"COPY (SELECT i::BIGINT AS doc_id, CASE WHEN i <> 4 THEN repeat('x', i::INT * 500) END AS text FROM range(8) t(i)) TO '{tmp_path}/documents.parquet'")
     got = answer(spark, str(tmp_path), "manifest_wanted", "path", "kind", "size")
     assert got == [(str(i), None if i == 4 else "sha256" if i > 4 else "git", None if i == 4 else 500 * i) for i in range(8)]
+
+
+@pytest.fixture
+def texts(tmp_path):
+    found = {0: "ab", 1: "ශ්‍රී 😀" * 1000, 2: "\x00", 17: "x" * 5000}
+    db = duckdb.connect()
+    db.execute("CREATE TABLE d (doc_id BIGINT, text VARCHAR, n_chars BIGINT)")
+    db.executemany("INSERT INTO d VALUES (?, ?, ?)", [(i, t, len(t)) for i, t in found.items()] + [(3, None, None), (4, "", 0)])
+    db.execute(f"COPY d TO '{tmp_path}/documents.parquet'")
+    return str(tmp_path), found
+
+
+def test_rows_are_as_long_as_their_texts(spark, texts):
+    folder, found = texts
+    longest = {i: max(len(t) for k, t in found.items() if k // 16 == i // 16) for i in found}
+    rows = sorted((i, longest[i], ",".join(map(str, [ord(c) + 64 for c in t] + [0] * (longest[i] - len(t))))) for i, t in found.items())
+    assert answer(spark, folder, "pad_layout", "doc_id", "length", "inputs") == rows
+
+
+def test_targets_are_the_whole_text(spark, texts):
+    folder, found = texts
+    halved = lambda n: (n - 1) // 2 + 1
+    clip = {i: halved(halved(halved(len(t) % 100))) + len(t) // 100 * 13 + int(len(t) % 100 * 0.13) for i, t in found.items()}
+    expected = [(i, clip[i] + 3 + k, x) for i, t in found.items() for k, x in enumerate([*(ord(c) + 64 for c in t), 9])]
+    assert answer(spark, folder, "prompt_targets", "doc_id", "place", "id") == sorted(expected)

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -45,6 +46,13 @@ def fixed3(numbers: pa.Array) -> pa.Array:
     return pa.array([None if x is None else f"{x:.3f}" for x in numbers.to_pylist()], pa.string())
 
 
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def code_points(texts: pa.Array) -> pa.Array:
+    """The code points of each text."""
+    codes = [None if t is None else np.frombuffer(t.encode("utf-32-le"), np.int32) for t in texts.to_pylist()]
+    return pa.array(codes, pa.list_(pa.int32()))
+
+
 def clean(text: Column) -> Column:
     """Composed; words lose joiners at their edges, empty words go, one space between."""
     words = F.split(nfc(text), r"(?U)\s+")

@@ -19,6 +19,7 @@ from voxloom.streaming import labelling
 
 SEED, TEST, DEV = 52, 24, 12
 BUDGET, PER_STEP = 4096, 128
+FIRST_ID = 64
 
 
 def _utterances(s: SparkSession, d: str) -> DataFrame:
@@ -334,17 +335,23 @@ def step_totals(s, d):
     return B.step_totals(B.micro_batches(_lengths(s, d), BUDGET))
 
 
+def _token_ids(s, d):
+    """Token-like ids of each document's whole text: its code points, above the FIRST_ID ids that mean something else."""
+    rows = T(s, d, "documents").where("n_chars > 0").select("doc_id", "n_chars", X.code_points(F.col("text")).alias("codes"))
+    return rows.select("doc_id", "n_chars", F.transform("codes", lambda c: c + FIRST_ID).alias("label"))
+
+
 def pad_layout(s, d):
-    """Rows of token-like ids padded to the longest of their step."""
-    ids = T(s, d, "documents").where("n_chars > 0").select("doc_id", F.floor(F.col("doc_id") / 16).alias("step"), F.sequence(F.lit(1), (F.pmod("n_chars", F.lit(40)) + 2).cast("int")).alias("ids"))
+    """Rows of token-like ids, the end last, padded to the longest of their step."""
+    ids = _token_ids(s, d).select("doc_id", F.floor(F.col("doc_id") / 16).alias("step"), F.array_append("label", F.lit(9)).alias("ids"))
     return B.padded_rows(ids, "step", 0).select("doc_id", "length", F.array_join("inputs", ",").alias("inputs"))
 
 
 def prompt_targets(s, d):
-    """Places and ids of label tokens in assembled prompts."""
-    n = F.pmod("n_chars", F.lit(30))
-    ids = B.prompt(F.array(F.lit(1), F.lit(2)), 50, n, F.array(F.lit(3), F.lit(4)), F.sequence(F.lit(10), (F.pmod("n_chars", F.lit(7)) + 10).cast("int")), 9)
-    rows = T(s, d, "documents").where("n_chars > 0").select("doc_id", ids.alias("ids"), (n + 4).cast("int").alias("prompt"))
+    """Places and ids of label tokens in assembled prompts: placeholders of a clip of as many frames as the text has characters, the label its whole text."""
+    n = B.audio_tokens(F.col("n_chars"))
+    ids = B.prompt(F.array(F.lit(1), F.lit(2)), 50, n, F.array(F.lit(3), F.lit(4)), F.col("label"), 9)
+    rows = _token_ids(s, d).select("doc_id", ids.alias("ids"), (n + 4).cast("int").alias("prompt"))
     return rows.select("doc_id", F.explode(B.targets(F.col("ids"), F.col("prompt"))).alias("t")).select("doc_id", "t.place", "t.id")
 
 
