@@ -67,3 +67,14 @@ def test_every_document_gets_a_row(spark):
     none = abuse.train(docs, labels.limit(0), terms)
     assert all(r.score is None or r.score < 0 for r in abuse.score_documents(docs, none).collect())
     assert abuse.score_documents(docs.limit(0), model).count() == 0
+
+
+def test_a_long_text_does_not_end_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(abuse, "MAX_LETTERS", 100)
+    monkeypatch.setattr(abuse, "fit", lambda texts, flags, terms: (texts, flags, terms))
+    first = min(range(4), key=lambda i: (hash((i, abuse.MAX_DOCUMENTS)), i))
+    documents = spark.createDataFrame([(i, "x" * 101 if i == first else "y" * 20) for i in range(4)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id long, flagged int")
+    terms = spark.range(10_001).selectExpr("CAST(id AS STRING) AS term")
+    texts, _, listed = abuse.train(documents, labels, terms)
+    assert texts == ["y" * 20] * 3 and len(listed) == 10_001

@@ -305,19 +305,19 @@ def _score_documents(model: Model):
 
 
 def train(documents: DataFrame, labels: DataFrame, terms: DataFrame) -> Model:
-    """A model from a bounded sample of labelled documents: the first MAX_DOCUMENTS by hash, MAX_LETTERS letters of them."""
+    """A model from a bounded sample of labelled documents: of the first MAX_DOCUMENTS by hash, each that still fits in MAX_LETTERS letters."""
     marks = labels.where("flagged IN (0, 1)").groupBy("doc_id").agg(F.max("flagged").alias("flagged"))
     some = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_DOCUMENTS)  # ids only; at most so many are broadcast
     rows = documents.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(some), "doc_id").distinct()
     sample = sorted(rows.collect(), key=lambda r: (hash((r["doc_id"], MAX_DOCUMENTS)), r["doc_id"]))
     texts, flags, letters = [], [], 0
     for r in sample:
+        if letters + len(r["text"]) > MAX_LETTERS:
+            continue
         letters += len(r["text"])
-        if letters > MAX_LETTERS:
-            break
         texts.append(r["text"])
         flags.append(r["flagged"])
-    listed = [r[0] for r in terms.select("term").where("term IS NOT NULL").distinct().orderBy("term").limit(10_000).collect()]
+    listed = [r[0] for r in terms.select("term").where("term IS NOT NULL").distinct().orderBy("term").collect()]
     return fit(texts, flags, listed)
 
 
