@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 
 from voxloom.llm import abuse
+from voxloom.session import stored
 
 
 def corpus(rng, n):
@@ -24,6 +25,11 @@ def corpus(rng, n):
     return texts, flags
 
 
+def given(texts, flags):
+    table = pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "flagged": pa.array(flags, pa.int64()), "text": pa.array(texts, pa.string())})
+    return abuse.Here().give(table)
+
+
 def scores(model, texts):
     codes = abuse.stream(pa.array(texts, pa.string()))
     doc, lo, hi = abuse.passages(codes)
@@ -34,15 +40,16 @@ def scores(model, texts):
 
 def test_held_out_accuracy():
     rng = random.Random(9)
-    model = abuse.fit(*corpus(rng, 500), ["moron", "idiot"])
+    model = abuse.fit(given(*corpus(rng, 500)), ["moron", "idiot"])
     texts, flags = corpus(rng, 300)
     found, flags = scores(model, texts) > 0, np.array(flags)
     assert (found == flags).mean() > 0.9
 
 
-def test_folded_weights_equal_the_kernel():
+def test_folded_weights_equal_the_kernel(monkeypatch):
     rng = random.Random(10)
     codes = abuse.stream(pa.array(["abcdefgh", "abxcdefgh", "zzzz", None, ""]))
+    monkeypatch.setattr(abuse, "TABLE", 1 << 16)
     doc, lo, hi = abuse.passages(codes)
     assert doc.tolist() == [0, 1, 2]
     own, sub, val = abuse.features(codes, lo, hi)
@@ -53,6 +60,15 @@ def test_folded_weights_equal_the_kernel():
     kernel = (phi @ phi.T) / norm[:, None] / norm[None, :]
     model = abuse.Model((beta / norm) @ phi, 0.5)
     assert np.allclose(model.score(codes, lo, hi), kernel @ beta + 0.5, atol=1e-5)
+    assert np.allclose(abuse.kernel(codes, lo, hi, [codes[a:b].tobytes() for a, b in zip(lo, hi, strict=True)]), kernel, atol=1e-5)
+
+
+def test_tasks_fit_the_same_model(spark):
+    texts, flags = corpus(random.Random(12), 300)
+    here = abuse.fit(given(texts, flags), ["moron"])
+    rows = spark.createDataFrame(list(zip(range(300), flags, texts, strict=True)), "doc_id long, flagged long, text string")
+    there = abuse.fit(rows, ["moron"], abuse.Cluster(spark))
+    assert np.allclose(scores(here, texts), scores(there, texts), atol=1e-2)
 
 
 def test_every_document_gets_a_row(spark):
@@ -61,20 +77,19 @@ def test_every_document_gets_a_row(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, score string")
     labels = spark.createDataFrame([(i, f) for i, f in enumerate(flags)] + [(5, None)], "doc_id long, flagged int")
     terms = spark.createDataFrame([("idiot",), (None,)], "term string")
-    model = abuse.train(docs, labels, terms)
+    model = abuse.train(docs, labels, terms, stored)
     got = {r.doc_id: r.score for r in abuse.score_documents(docs, model).collect()}
     assert len(got) == len(rows) and got[1000] is got[1001] is got[1002] is None and got[1003] > 0
-    none = abuse.train(docs, labels.limit(0), terms)
+    none = abuse.train(docs, labels.limit(0), terms, stored)
     assert all(r.score is None or r.score < 0 for r in abuse.score_documents(docs, none).collect())
     assert abuse.score_documents(docs.limit(0), model).count() == 0
 
 
 def test_a_long_text_does_not_end_the_sample(spark, monkeypatch):
     monkeypatch.setattr(abuse, "MAX_LETTERS", 100)
-    monkeypatch.setattr(abuse, "fit", lambda texts, flags, terms: (texts, flags, terms))
-    first = min(range(4), key=lambda i: (hash((i, abuse.MAX_DOCUMENTS)), i))
-    documents = spark.createDataFrame([(i, "x" * 101 if i == first else "y" * 20) for i in range(4)], "doc_id long, text string")
+    monkeypatch.setattr(abuse, "fit", lambda sample, terms, where: (sorted(r.text for r in sample.collect()), terms))
+    documents = spark.createDataFrame([(i, "x" * 101 if i == 1 else "y" * 20) for i in range(4)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id long, flagged int")
     terms = spark.range(10_001).selectExpr("CAST(id AS STRING) AS term")
-    texts, _, listed = abuse.train(documents, labels, terms)
+    texts, listed = abuse.train(documents, labels, terms, stored)
     assert texts == ["y" * 20] * 3 and len(listed) == 10_001

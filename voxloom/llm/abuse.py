@@ -7,9 +7,13 @@ and a replaced or added letter costs a gap. Texts are scored in passages: senten
 A machine over kernel values with landmarks is linear in them, and they are linear in the subsequences; so after training the
 landmarks fold into one table of weights by hashed subsequence, and all passages of all documents are scored in one scan.
 
+The sums over passages run as Spark tasks: counts of subsequences, first scores, and kernel values with the landmarks, round by
+round; the driver holds the sample's passages and kernel values (bounded by MAX_LETTERS, MAX_PASSAGES and LANDMARKS), no texts.
+
 Labels are of documents, so passages are labelled in rounds: a flagged document's passages that score highest are taken as its
 flagged ones, the others as unknown; all passages of the other documents are clean. Listed terms seed the first round.
-Training takes a bounded sample of labelled documents (MAX_DOCUMENTS, MAX_LETTERS); scoring covers every document whole.
+Training takes a bounded sample of labelled documents (MAX_DOCUMENTS, MAX_LETTERS) and of their passages (MAX_PASSAGES of either
+label); landmarks are chosen among at most POOL flagged passages. Scoring covers every document whole.
 
 Null, empty and letterless texts score null and aren't flagged. Null labels take no part. Without labels of both kinds no
 document is flagged. Repeated rows count once.
@@ -18,37 +22,35 @@ document is flagged. Repeated rows count once.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxloom.llm.forms import visual_forms
 
-SUB, SPAN, DECAY = 3, 5, 0.6
+SUB, SPAN, DECAY = 4, 5, 0.6
 #: Size of the table of hashed subsequences.
-TABLE = 1 << 20
+TABLE = 1 << 22
 #: Letters in a window of a long sentence, and from one to the next.
 WINDOW, STRIDE = 60, 30
-LANDMARKS = 300
+LANDMARKS = 800
 #: Flagged passages that landmarks are chosen among.
-POOL = 700
-MAX_DOCUMENTS, MAX_LETTERS, MAX_PASSAGES = 2000, 1_500_000, 4000
+POOL = 2000
+MAX_DOCUMENTS, MAX_LETTERS, MAX_PASSAGES = 5000, 4_000_000, 6000
 ROUNDS = 4
-#: How far below the machine's boundary a passage still counts as flagged.
-MARGIN = 0.0
 #: Standard deviations above its share of documents at which a subsequence speaks for a flag; weight of a flagged passage.
-SIGNIFICANT, HEAVIER = 2.0, 2.5
+SIGNIFICANT, HEAVIER = 2.0, 1.5
 #: Share of the clean passages that a flagged one must score above.
 ABOVE = 0.985
+Work = Callable[[pa.RecordBatch], pa.RecordBatch]
 _END, _DOC = "\x1e", "\x1f"
-_TURN = r"\[[0-9:.]+\]\s*\w{0,20}:"
 _HAN_END = r"[.!?…]+([\x{4E00}-\x{9FFF}])"
-_SENTENCE = r"[.!?…]+(\s|$)|[。！？；]+|[\r\n]+| / "
+_SENTENCE = r"[.!?…]+(\s|$)|[。！？；]+|[\r\n]+"
 
 
 def offsets() -> list[tuple[tuple[int, ...], float]]:
@@ -61,7 +63,6 @@ def offsets() -> list[tuple[tuple[int, ...], float]]:
 def stream(texts: pa.Array) -> np.ndarray:
     """The letters of all texts as code points, sentences and texts ended by marks."""
     formed = pc.utf8_lower(visual_forms(pc.fill_null(texts, "")))
-    formed = pc.replace_substring_regex(formed, _TURN, _END)
     marked = pc.replace_substring_regex(formed, _HAN_END, _END + r"\1")
     marked = pc.replace_substring_regex(marked, _SENTENCE, _END)
     marked = pc.replace_substring_regex(marked, r"([\x{4E00}-\x{9FFF}])", r"\1\1")  # a Han character says as much as two letters
@@ -100,7 +101,7 @@ def subsequences(codes: np.ndarray) -> Iterator[tuple[int, np.ndarray, float]]:
             h += f[p : n - reach + p]
         h ^= h >> np.uint32(15)
         h *= np.uint32(0x2C1B3C6D)
-        yield reach, (h >> np.uint32(12)) & np.uint32(TABLE - 1), weight
+        yield reach, h >> np.uint32(33 - TABLE.bit_length()), weight
 
 
 def norms(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -140,82 +141,151 @@ def features(codes: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndar
     return own[order], sub[order], val[order]
 
 
-def fit(texts: list[str], flagged: list[int], terms: list[str], seed: int = 0) -> Model:
-    """A model from documents with labels 0 or 1. terms: listed words, which seed the choice of passages."""
+class Here:
+    """Runs the work on passages in this process, batch by batch."""
+
+    def give(self, table: pa.Table) -> list[pa.RecordBatch]:
+        return table.to_batches(max_chunksize=512)
+
+    def run(self, data: list[pa.RecordBatch], work: Work, schema: str) -> pa.Table:
+        return pa.Table.from_batches([work(batch) for batch in data])
+
+
+class Cluster:
+    """Runs it as Spark tasks over Arrow batches; what comes back is bounded by the sample."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+
+    def give(self, table: pa.Table) -> DataFrame:
+        return self.spark.createDataFrame(table).repartition(2 * self.spark.sparkContext.defaultParallelism)
+
+    def run(self, data: DataFrame, work: Work, schema: str) -> pa.Table:
+        return data.mapInArrow(lambda batches: (work(batch) for batch in batches), schema).toArrow()
+
+
+def fit(sample, terms: list[str], where: Here | Cluster | None = None, seed: int = 0) -> Model:
+    """A model from a sample of documents (flagged 0 or 1, text), as where.give has it. terms: listed words, which seed the choice of passages."""
+    where = where or Here()
     none = Model(np.zeros(TABLE, np.float32), -1.0)
-    flags = np.array(flagged)
-    if len(set(flagged)) < 2:
+    z = _significance(where.run(sample, _occurrences, "documents long, flagged long, sub binary, n binary, dirty binary"))
+    if z is None:
         return none
     rng = np.random.default_rng(seed)
-    codes = stream(pa.array(texts, pa.string()))
-    doc, lo, hi = passages(codes)
-    if not len(doc) or len(set(flags[doc])) < 2:
-        return none
-    label = flags[doc]
     # first scores: subsequences that flagged documents have significantly more often than their share, documents counted once
-    z = _significance(codes, flags)
-    score = Model(np.clip(z - SIGNIFICANT, -0.3, 4).astype(np.float32), 0.0).score(codes, lo, hi)
-    if terms:
-        score += _listed(codes, lo, hi, terms)
+    first = Model(np.clip(z - SIGNIFICANT, -0.3, 4).astype(np.float32), 0.0)
+    found = where.run(sample, _first_scores(first, terms), "doc long, flagged long, score double, letters binary")
+    found = found.sort_by([("doc", "ascending"), ("letters", "ascending")])
+    doc, label, score = (found.column(c).to_numpy() for c in ("doc", "flagged", "score"))
+    if len(set(label.tolist())) < 2:
+        return none
     # of either kind the passages that score highest, and of clean ones as many by chance, are trained on
     ranked = np.argsort(-score, kind="stable")
     dirty, clean = ranked[label[ranked] == 1][:MAX_PASSAGES], ranked[label[ranked] == 0]
     clean = np.concatenate([clean[: MAX_PASSAGES // 2], rng.permutation(clean[MAX_PASSAGES // 2 :])[: MAX_PASSAGES // 2]])
     rows = np.sort(np.concatenate([dirty, clean]))
-    y, score, doc, norm = label[rows], score[rows], doc[rows], norms(lo[rows], hi[rows])
-    own, sub, val = features(codes, lo[rows], hi[rows])
+    y, score, doc = label[rows], score[rows], doc[rows]
+    letters = found.column("letters").take(pa.array(rows)).to_pylist()
+    data = where.give(pa.table({"row": pa.array(np.arange(len(rows))), "letters": pa.array(letters, pa.binary())}))
     for turn in range(ROUNDS):
         top = _chosen(score, doc, y)
         if not len(top):
             return none
         used = np.concatenate([top, np.flatnonzero(y == 0)])
         target = np.where(y[used] == 1, 1.0, -1.0)
-        n = LANDMARKS if turn == ROUNDS - 1 else LANDMARKS * 2 // 3
+        n = LANDMARKS if turn == ROUNDS - 1 else LANDMARKS // 2
         pool = rng.permutation(top)[:POOL]
-        spread = pool[_diverse(_among(own, sub, val, norm, pool), n * 3 // 5)]
+        spread = pool[_diverse(kernel(*joined([letters[i] for i in pool]), [letters[i] for i in pool]), n * 3 // 5)]
         hard = np.flatnonzero(y == 0)[np.argsort(-score[y == 0], kind="stable")]
         marks = np.unique(np.concatenate([spread, hard[: n // 5], rng.permutation(hard[n // 5 :])[: n // 5]]))
-        kernel = _kernel(own, sub, val, norm, marks, len(rows))
-        among = kernel[marks]
+        values = np.empty((len(rows), len(marks)), np.float32)
+        for batch in where.run(data, _kernel_rows([letters[i] for i in marks]), "row long, kernel binary").to_batches():
+            for row, own in zip(batch.column("row").to_pylist(), batch.column("kernel"), strict=True):
+                values[row] = np.frombuffer(own.as_buffer(), np.float32)
+        among = values[marks].astype(np.float64)
         value, vector = np.linalg.eigh((among + among.T) / 2)
         good = value > 1e-4 * value[-1]
         root = vector[:, good] / np.sqrt(value[good])
-        w, b = _machine(kernel[used] @ root, target)
+        w, b = _machine(values[used] @ root.astype(np.float32), target)
         beta = root @ w
-        score = kernel @ beta + b
+        score = values @ beta + b
+    codes, lo, hi = joined([letters[i] for i in marks])
+    own, sub, val = features(codes, lo, hi)
     table = np.zeros(TABLE, np.float32)
-    at = np.full(len(rows), -1)
-    at[marks] = np.arange(len(marks))
-    mine = at[own] >= 0
-    np.add.at(table, sub[mine], (val[mine] * (beta / norm[marks])[at[own[mine]]]).astype(np.float32))
-    return Model(table, float(b) + MARGIN)
+    np.add.at(table, sub, (val * (beta / norms(lo, hi))[own]).astype(np.float32))
+    return Model(table, float(b))
+
 
+def joined(letters: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Passages' letters in a row, and where each starts and ends."""
+    sizes = np.array([len(x) // 4 for x in letters], np.int64)
+    ends = np.cumsum(sizes)
+    return np.frombuffer(b"".join(letters), np.uint32), ends - sizes, ends
 
-def _significance(codes: np.ndarray, flags: np.ndarray) -> np.ndarray:
-    """For each hashed subsequence by how many standard deviations flagged documents have it too often; each document counts once."""
+
+def _occurrences(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The hashed subsequences of a batch of documents, with the documents and the flagged ones that have each."""
+    flags = batch.column("flagged").to_numpy(zero_copy_only=False)
+    codes = stream(batch.column("text"))
     doc = np.cumsum(codes == 0x1F) - (codes == 0x1F)
     part = np.cumsum((codes == 0x1E) | (codes == 0x1F))
-    seen = []
-    for reach, h, _ in subsequences(codes):
-        n = len(h)
-        seen.append(np.unique((doc[:n] * np.int64(TABLE) + h)[part[:n] == part[reach : n + reach]]))
-    seen = np.unique(np.concatenate(seen))
-    docs, subs = seen // TABLE, seen % TABLE
-    share = flags.mean()
-    among = np.bincount(subs, minlength=TABLE)
-    return (np.bincount(subs[flags[docs] == 1], minlength=TABLE) - share * among) / np.sqrt(np.maximum(1, among) * share * (1 - share))
-
-
-def _listed(codes: np.ndarray, lo: np.ndarray, hi: np.ndarray, terms: list[str]) -> np.ndarray:
-    """One for passages that hold a listed term's letters."""
-    words = [re.sub(r"[\x1e\x1f]", "", "".join(map(chr, stream(pa.array([t], pa.string()))))) for t in terms]
-    text = codes.astype("<u4").tobytes().decode("utf-32-le", "replace")
-    expression = re.compile("|".join(re.escape(w) for w in words if len(w) > 1) or r"(?!)")
-    hits = np.zeros(len(codes) + 1, np.int64)
-    for m in expression.finditer(text):
-        hits[m.start()] = 1
-    upto = np.concatenate([[0], np.cumsum(hits)])
-    return (upto[hi] > upto[lo]).astype(float)
+    ends = np.concatenate([[0], np.flatnonzero(codes == 0x1F) + 1])
+    both = []
+    for i in range(0, len(flags), 64):  # some documents at a time
+        lo, hi = ends[i], ends[min(i + 64, len(flags))]
+        seen = []
+        for reach, h, _ in subsequences(codes[lo:hi]):
+            n = len(h)
+            seen.append(np.unique((doc[lo : lo + n] * np.int64(TABLE) + h)[part[lo : lo + n] == part[lo + reach : lo + reach + n]]))
+        if seen:
+            both.append(np.unique(np.concatenate(seen)))
+    both = np.concatenate(both) if both else np.zeros(0, np.int64)
+    among = np.bincount(both % TABLE, minlength=TABLE)
+    dirty = np.bincount((both % TABLE)[flags[both // TABLE] == 1], minlength=TABLE)
+    sub = np.flatnonzero(among)
+    parts = [pa.array([x.astype(np.int32).tobytes()], pa.binary()) for x in (sub, among[sub], dirty[sub])]
+    return pa.RecordBatch.from_arrays([pa.array([len(flags)]), pa.array([int(flags.sum())]), *parts], ["documents", "flagged", "sub", "n", "dirty"])
+
+
+def _significance(counted: pa.Table) -> np.ndarray | None:
+    """For each hashed subsequence by how many standard deviations flagged documents have it too often; None without documents of both kinds."""
+    documents, flagged = (sum(counted.column(c).to_pylist()) for c in ("documents", "flagged"))
+    if not 0 < flagged < documents:
+        return None
+    among, dirty = np.zeros(TABLE), np.zeros(TABLE)
+    for sub, n, k in zip(*(counted.column(c).to_pylist() for c in ("sub", "n", "dirty")), strict=True):
+        at = np.frombuffer(sub, np.int32)
+        among[at] += np.frombuffer(n, np.int32)
+        dirty[at] += np.frombuffer(k, np.int32)
+    share = flagged / documents
+    return (dirty - share * among) / np.sqrt(np.maximum(1, among) * share * (1 - share))
+
+
+def _first_scores(model: Model, terms: list[str]) -> Work:
+    words = [bytes(stream(pa.array([t], pa.string()))[:-1]).decode("utf-32-le").replace("\x1e", "") for t in terms]
+    expression = "|".join(re.escape(w) for w in words if len(w) > 1) or r"(?!)"
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        codes = stream(batch.column("text"))
+        own, lo, hi = passages(codes)
+        hits = np.zeros(len(codes) + 1, np.int64)
+        for m in re.finditer(expression, codes.astype("<u4").tobytes().decode("utf-32-le", "replace")):
+            hits[m.start()] = 1
+        upto = np.concatenate([[0], np.cumsum(hits)])
+        score = model.score(codes, lo, hi) + (upto[hi] > upto[lo])
+        letters = pa.array([codes[a:b].tobytes() for a, b in zip(lo.tolist(), hi.tolist(), strict=True)], pa.binary())
+        doc, flagged = (batch.column(c).take(pa.array(own)).cast(pa.int64()) for c in ("doc_id", "flagged"))
+        return pa.RecordBatch.from_arrays([doc, flagged, pa.array(score, pa.float64()), letters], ["doc", "flagged", "score", "letters"])
+
+    return work
+
+
+def _kernel_rows(marks: list[bytes]) -> Work:
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        values = kernel(*joined(batch.column("letters").to_pylist()), marks)
+        return pa.RecordBatch.from_arrays([batch.column("row"), pa.array([v.tobytes() for v in values], pa.binary())], ["row", "kernel"])
+
+    return work
 
 
 def _chosen(score: np.ndarray, doc: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -243,47 +313,38 @@ def _diverse(kernel: np.ndarray, n: int) -> np.ndarray:
     return np.array(chosen, np.int64)
 
 
-def _among(own, sub, val, norm, pool: np.ndarray) -> np.ndarray:
-    """Normalised kernel values among the passages of a pool."""
-    at = np.full(len(norm), -1)
-    at[pool] = np.arange(len(pool))
-    mine = np.flatnonzero(at[own] >= 0)
-    mine = mine[np.argsort(at[own[mine]], kind="stable")]
-    return _kernel(at[own[mine]], sub[mine], val[mine], norm[pool], np.arange(len(pool)), len(pool))
-
-
-def _kernel(own, sub, val, norm, marks, n) -> np.ndarray:
-    """Normalised kernel values of all passages with the landmarks."""
-    at = np.full(n, -1)
-    at[marks] = np.arange(len(marks))
-    mine = at[own] >= 0
-    kept, compact = np.unique(sub[mine], return_inverse=True)
+def kernel(codes: np.ndarray, lo: np.ndarray, hi: np.ndarray, marks: list[bytes]) -> np.ndarray:
+    """Normalised kernel values of passages with landmarks."""
+    mark_codes, mark_lo, mark_hi = joined(marks)
+    own, sub, val = features(mark_codes, mark_lo, mark_hi)
+    kept, compact = np.unique(sub, return_inverse=True)
     dense = np.zeros((len(kept) + 1, len(marks)), np.float32)
-    np.add.at(dense, (compact, at[own[mine]]), val[mine] / norm[marks][at[own[mine]]])
+    np.add.at(dense, (compact, own), val / norms(mark_lo, mark_hi)[own])
     place = np.full(TABLE, len(kept), np.int32)
     place[kept] = np.arange(len(kept))
+    own, sub, val = features(codes, lo, hi)
     col = place[sub]
     useful = np.flatnonzero(col < len(kept))
     col, row, v = col[useful], own[useful], val[useful]
-    out = np.zeros((n, len(marks)), np.float32)
-    for i in range(0, len(col), 1 << 14):
-        r = row[i : i + (1 << 14)]
+    out = np.zeros((len(lo), len(marks)), np.float32)
+    for i in range(0, len(col), 1 << 13):
+        r = row[i : i + (1 << 13)]
         first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-        out[r[first]] += np.add.reduceat(dense[col[i : i + (1 << 14)]] * v[i : i + (1 << 14), None], first, axis=0)
-    return (out / norm[:, None]).astype(np.float64)
+        out[r[first]] += np.add.reduceat(dense[col[i : i + (1 << 13)]] * v[i : i + (1 << 13), None], first, axis=0)
+    return out / norms(lo, hi)[:, None].astype(np.float32)
 
 
 def _machine(x: np.ndarray, y: np.ndarray, cost: float = 1.0) -> tuple[np.ndarray, float]:
     """A linear machine with squared hinge loss, flagged passages weighing HEAVIER, by Newton steps on its support vectors."""
-    x1 = np.hstack([x, np.ones((len(x), 1))])
-    each = np.where(y > 0, cost * HEAVIER, cost)
+    x1 = np.hstack([x, np.ones((len(x), 1), x.dtype)])
+    each = np.where(y > 0, cost * HEAVIER, cost).astype(x.dtype)
     w = np.zeros(x1.shape[1])
     ridge = np.eye(len(w))
     ridge[-1, -1] = 1e-6
     for _ in range(30):
         active = y * (x1 @ w) < 1
-        a = x1[active] * each[active, None]
-        new = np.linalg.solve(ridge + a.T @ x1[active], a.T @ y[active])
+        a = x1[active]
+        new = np.linalg.solve(ridge + (a * each[active, None]).T.astype(np.float64) @ a, (a * each[active, None]).T @ y[active])
         if np.allclose(new, w, atol=1e-6):
             break
         w = new
@@ -304,21 +365,27 @@ def _score_documents(model: Model):
     return run
 
 
-def train(documents: DataFrame, labels: DataFrame, terms: DataFrame) -> Model:
-    """A model from a bounded sample of labelled documents: of the first MAX_DOCUMENTS by hash, each that still fits in MAX_LETTERS letters."""
+def train(documents: DataFrame, labels: DataFrame, terms: DataFrame, store: Callable[[DataFrame, str], DataFrame]) -> Model:
+    """A model from a bounded sample of labelled documents: of the first MAX_DOCUMENTS by hash, each that still fits in MAX_LETTERS letters.
+
+    The sample's texts stay in the shared folder; ids and lengths, then passages, at most twice MAX_LETTERS letters, come to the driver.
+    """
     marks = labels.where("flagged IN (0, 1)").groupBy("doc_id").agg(F.max("flagged").alias("flagged"))
     some = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_DOCUMENTS)  # ids only; at most so many are broadcast
     rows = documents.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(some), "doc_id").distinct()
-    sample = sorted(rows.collect(), key=lambda r: (hash((r["doc_id"], MAX_DOCUMENTS)), r["doc_id"]))
-    texts, flags, letters = [], [], 0
-    for r in sample:
-        if letters + len(r["text"]) > MAX_LETTERS:
-            continue
-        letters += len(r["text"])
-        texts.append(r["text"])
-        flags.append(r["flagged"])
+    sample = store(rows.select("doc_id", "flagged", "text"), "sample")
+    lengths = sample.select("doc_id", F.xxhash64("text").alias("h"), F.length("text").alias("n"), F.xxhash64("doc_id", F.lit(1)).alias("turn")).orderBy("turn", "doc_id", "h").collect()  # at most MAX_DOCUMENTS, but for ids with several texts
+    letters, left_out = 0, []
+    for r in lengths:
+        if letters + r["n"] > MAX_LETTERS:
+            left_out.append((r["doc_id"], r["h"]))
+        else:
+            letters += r["n"]
+    spark = documents.sparkSession
+    if left_out:
+        sample = sample.withColumn("h", F.xxhash64("text")).join(F.broadcast(spark.createDataFrame(left_out, "doc_id long, h long")), ["doc_id", "h"], "left_anti").drop("h")
     listed = [r[0] for r in terms.select("term").where("term IS NOT NULL").distinct().orderBy("term").collect()]
-    return fit(texts, flags, listed)
+    return fit(sample.repartition(2 * spark.sparkContext.defaultParallelism, "doc_id"), listed, Cluster(spark))
 
 
 def score_documents(documents: DataFrame, model: Model) -> DataFrame:

@@ -186,7 +186,7 @@ def p9_fill(spark: SparkSession, d: str) -> DataFrame:
 
 def p10_scores(spark: SparkSession, d: str) -> DataFrame:
     documents = table(spark, d, "documents")
-    model = abuse.train(documents, table(spark, d, "doc_labels"), table(spark, d, "flag_terms"))
+    model = abuse.train(documents, table(spark, d, "doc_labels"), table(spark, d, "flag_terms"), stored)
     return abuse.score_documents(documents, model)
 
 
