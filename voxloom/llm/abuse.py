@@ -35,18 +35,19 @@ from voxloom.llm.forms import visual_forms
 
 SUB, SPAN, DECAY = 4, 5, 0.6
 #: Size of the table of hashed subsequences.
-TABLE = 1 << 22
+TABLE = 1 << 21
 #: Letters in a window of a long sentence, and from one to the next.
 WINDOW, STRIDE = 60, 30
 LANDMARKS = 800
 #: Flagged passages that landmarks are chosen among.
 POOL = 2000
-MAX_DOCUMENTS, MAX_LETTERS, MAX_PASSAGES = 5000, 4_000_000, 6000
+MAX_DOCUMENTS, MAX_LETTERS, MAX_PASSAGES = 5000, 4_000_000, 5000
 ROUNDS = 4
 #: Standard deviations above its share of documents at which a subsequence speaks for a flag; weight of a flagged passage.
 SIGNIFICANT, HEAVIER = 2.0, 1.5
 #: Share of the clean passages that a flagged one must score above.
 ABOVE = 0.985
+_COUNTS = "sub long, n long, dirty long"
 Work = Callable[[pa.RecordBatch], pa.RecordBatch]
 _END, _DOC = "\x1e", "\x1f"
 _HAN_END = r"[.!?…]+([\x{4E00}-\x{9FFF}])"
@@ -150,6 +151,10 @@ class Here:
     def run(self, data: list[pa.RecordBatch], work: Work, schema: str) -> pa.Table:
         return pa.Table.from_batches([work(batch) for batch in data])
 
+    def above(self, data: list[pa.RecordBatch], least: float) -> tuple[np.ndarray, np.ndarray] | None:
+        found = self.run(data, _occurrences, _COUNTS).group_by("sub").aggregate([("n", "sum"), ("dirty", "sum")])
+        return _significant(*(found.column(c).to_numpy() for c in ("sub", "n_sum", "dirty_sum")), least)
+
 
 class Cluster:
     """Runs it as Spark tasks over Arrow batches; what comes back is bounded by the sample."""
@@ -163,17 +168,27 @@ class Cluster:
     def run(self, data: DataFrame, work: Work, schema: str) -> pa.Table:
         return data.mapInArrow(lambda batches: (work(batch) for batch in batches), schema).toArrow()
 
+    def above(self, data: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray] | None:
+        counted = data.mapInArrow(lambda batches: map(_occurrences, batches), _COUNTS).groupBy("sub").agg(F.sum("n").alias("n"), F.sum("dirty").alias("dirty"))
+        whole = data.agg(F.count("*"), F.sum("flagged")).first()
+        share = (whole[1] or 0) / max(whole[0], 1)
+        # what can't be significant stays on the cluster
+        high = (F.col("dirty") - share * F.col("n")) > least * F.sqrt(F.greatest(F.lit(1), "n") * share * (1 - share))
+        found = counted.where(high | (F.col("sub") < 0)).toArrow()
+        return _significant(*(found.column(c).to_numpy() for c in ("sub", "n", "dirty")), least)
+
 
 def fit(sample, terms: list[str], where: Here | Cluster | None = None, seed: int = 0) -> Model:
     """A model from a sample of documents (flagged 0 or 1, text), as where.give has it. terms: listed words, which seed the choice of passages."""
     where = where or Here()
     none = Model(np.zeros(TABLE, np.float32), -1.0)
-    z = _significance(where.run(sample, _occurrences, "documents long, flagged long, sub binary, n binary, dirty binary"))
-    if z is None:
+    seeds = where.above(sample, SIGNIFICANT - 0.3)
+    if seeds is None:
         return none
     rng = np.random.default_rng(seed)
     # first scores: subsequences that flagged documents have significantly more often than their share, documents counted once
-    first = Model(np.clip(z - SIGNIFICANT, -0.3, 4).astype(np.float32), 0.0)
+    first = Model(np.full(TABLE, -0.3, np.float32), 0.0)
+    first.weights[seeds[0]] = np.clip(seeds[1] - SIGNIFICANT, -0.3, 4)
     found = where.run(sample, _first_scores(first, terms), "doc long, flagged long, score double, letters binary")
     found = found.sort_by([("doc", "ascending"), ("letters", "ascending")])
     doc, label, score = (found.column(c).to_numpy() for c in ("doc", "flagged", "score"))
@@ -186,6 +201,7 @@ def fit(sample, terms: list[str], where: Here | Cluster | None = None, seed: int
     rows = np.sort(np.concatenate([dirty, clean]))
     y, score, doc = label[rows], score[rows], doc[rows]
     letters = found.column("letters").take(pa.array(rows)).to_pylist()
+    del found, ranked, clean, dirty
     data = where.give(pa.table({"row": pa.array(np.arange(len(rows))), "letters": pa.array(letters, pa.binary())}))
     for turn in range(ROUNDS):
         top = _chosen(score, doc, y)
@@ -224,7 +240,7 @@ def joined(letters: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _occurrences(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """The hashed subsequences of a batch of documents, with the documents and the flagged ones that have each."""
+    """The hashed subsequences of a batch of documents, with the documents and the flagged ones that have each; -1 for all documents."""
     flags = batch.column("flagged").to_numpy(zero_copy_only=False)
     codes = stream(batch.column("text"))
     doc = np.cumsum(codes == 0x1F) - (codes == 0x1F)
@@ -243,22 +259,23 @@ def _occurrences(batch: pa.RecordBatch) -> pa.RecordBatch:
     among = np.bincount(both % TABLE, minlength=TABLE)
     dirty = np.bincount((both % TABLE)[flags[both // TABLE] == 1], minlength=TABLE)
     sub = np.flatnonzero(among)
-    parts = [pa.array([x.astype(np.int32).tobytes()], pa.binary()) for x in (sub, among[sub], dirty[sub])]
-    return pa.RecordBatch.from_arrays([pa.array([len(flags)]), pa.array([int(flags.sum())]), *parts], ["documents", "flagged", "sub", "n", "dirty"])
+    columns = ([-1], sub), ([len(flags)], among[sub]), ([flags.sum()], dirty[sub])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in columns], ["sub", "n", "dirty"])
 
 
-def _significance(counted: pa.Table) -> np.ndarray | None:
-    """For each hashed subsequence by how many standard deviations flagged documents have it too often; None without documents of both kinds."""
-    documents, flagged = (sum(counted.column(c).to_pylist()) for c in ("documents", "flagged"))
+def _significant(sub: np.ndarray, n: np.ndarray, dirty: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray] | None:
+    """Hashed subsequences and by how many standard deviations flagged documents have them too often, where that is over least.
+
+    -1 stands for the documents themselves; None without documents of both kinds.
+    """
+    whole = sub < 0
+    documents, flagged = n[whole].sum(), dirty[whole].sum()
     if not 0 < flagged < documents:
         return None
-    among, dirty = np.zeros(TABLE), np.zeros(TABLE)
-    for sub, n, k in zip(*(counted.column(c).to_pylist() for c in ("sub", "n", "dirty")), strict=True):
-        at = np.frombuffer(sub, np.int32)
-        among[at] += np.frombuffer(n, np.int32)
-        dirty[at] += np.frombuffer(k, np.int32)
     share = flagged / documents
-    return (dirty - share * among) / np.sqrt(np.maximum(1, among) * share * (1 - share))
+    z = (dirty - share * n) / np.sqrt(np.maximum(1, n) * share * (1 - share))
+    kept = ~whole & (z > least)
+    return sub[kept], z[kept]
 
 
 def _first_scores(model: Model, terms: list[str]) -> Work:
@@ -342,9 +359,14 @@ def _machine(x: np.ndarray, y: np.ndarray, cost: float = 1.0) -> tuple[np.ndarra
     ridge = np.eye(len(w))
     ridge[-1, -1] = 1e-6
     for _ in range(30):
-        active = y * (x1 @ w) < 1
-        a = x1[active]
-        new = np.linalg.solve(ridge + (a * each[active, None]).T.astype(np.float64) @ a, (a * each[active, None]).T @ y[active])
+        active = np.flatnonzero(y * (x1 @ w) < 1)
+        left, right = ridge.copy(), np.zeros(len(w))
+        for i in range(0, len(active), 1024):  # some rows at a time, in double precision
+            part = active[i : i + 1024]
+            a = x1[part].astype(np.float64)
+            left += (a * each[part, None]).T @ a
+            right += a.T @ (each[part] * y[part])
+        new = np.linalg.solve(left, right)
         if np.allclose(new, w, atol=1e-6):
             break
         w = new
