@@ -43,6 +43,8 @@ LANDMARKS = 800
 POOL = 2000
 MAX_DOCUMENTS, MAX_LETTERS, MAX_PASSAGES = 5000, 4_000_000, 5000
 ROUNDS = 4
+#: Landmarks that kernel values are computed with at a time.
+LANDMARKS_AT_ONCE = 100
 #: Standard deviations above its share of documents at which a subsequence speaks for a flag; weight of a flagged passage.
 SIGNIFICANT, HEAVIER = 2.0, 1.5
 #: Share of the clean passages that a flagged one must score above.
@@ -202,7 +204,6 @@ def fit(sample, terms: list[str], where: Here | Cluster | None = None, seed: int
     y, score, doc = label[rows], score[rows], doc[rows]
     letters = found.column("letters").take(pa.array(rows)).to_pylist()
     del found, ranked, clean, dirty
-    data = where.give(pa.table({"row": pa.array(np.arange(len(rows))), "letters": pa.array(letters, pa.binary())}))
     for turn in range(ROUNDS):
         top = _chosen(score, doc, y)
         if not len(top):
@@ -211,13 +212,10 @@ def fit(sample, terms: list[str], where: Here | Cluster | None = None, seed: int
         target = np.where(y[used] == 1, 1.0, -1.0)
         n = LANDMARKS if turn == ROUNDS - 1 else LANDMARKS // 2
         pool = rng.permutation(top)[:POOL]
-        spread = pool[_diverse(kernel(*joined([letters[i] for i in pool]), [letters[i] for i in pool]), n * 3 // 5)]
+        spread = pool[_diverse(_values(where, [letters[i] for i in pool], [letters[i] for i in pool]), n * 3 // 5)]
         hard = np.flatnonzero(y == 0)[np.argsort(-score[y == 0], kind="stable")]
         marks = np.unique(np.concatenate([spread, hard[: n // 5], rng.permutation(hard[n // 5 :])[: n // 5]]))
-        values = np.empty((len(rows), len(marks)), np.float32)
-        for batch in where.run(data, _kernel_rows([letters[i] for i in marks]), "row long, kernel binary").to_batches():
-            for row, own in zip(batch.column("row").to_pylist(), batch.column("kernel"), strict=True):
-                values[row] = np.frombuffer(own.as_buffer(), np.float32)
+        values = _values(where, letters, [letters[i] for i in marks])
         among = values[marks].astype(np.float64)
         value, vector = np.linalg.eigh((among + among.T) / 2)
         good = value > 1e-4 * value[-1]
@@ -297,6 +295,16 @@ def _first_scores(model: Model, terms: list[str]) -> Work:
     return work
 
 
+def _values(where: Here | Cluster, letters: list[bytes], marks: list[bytes]) -> np.ndarray:
+    """Normalised kernel values of passages with landmarks, spread over where."""
+    data = where.give(pa.table({"row": pa.array(np.arange(len(letters))), "letters": pa.array(letters, pa.binary())}))
+    values = np.empty((len(letters), len(marks)), np.float32)
+    for batch in where.run(data, _kernel_rows(marks), "row long, kernel binary").to_batches():
+        for row, own in zip(batch.column("row").to_pylist(), batch.column("kernel"), strict=True):
+            values[row] = np.frombuffer(own.as_buffer(), np.float32)
+    return values
+
+
 def _kernel_rows(marks: list[bytes]) -> Work:
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         values = kernel(*joined(batch.column("letters").to_pylist()), marks)
@@ -332,22 +340,25 @@ def _diverse(kernel: np.ndarray, n: int) -> np.ndarray:
 
 def kernel(codes: np.ndarray, lo: np.ndarray, hi: np.ndarray, marks: list[bytes]) -> np.ndarray:
     """Normalised kernel values of passages with landmarks."""
-    mark_codes, mark_lo, mark_hi = joined(marks)
-    own, sub, val = features(mark_codes, mark_lo, mark_hi)
-    kept, compact = np.unique(sub, return_inverse=True)
-    dense = np.zeros((len(kept) + 1, len(marks)), np.float32)
-    np.add.at(dense, (compact, own), val / norms(mark_lo, mark_hi)[own])
-    place = np.full(TABLE, len(kept), np.int32)
-    place[kept] = np.arange(len(kept))
-    own, sub, val = features(codes, lo, hi)
-    col = place[sub]
-    useful = np.flatnonzero(col < len(kept))
-    col, row, v = col[useful], own[useful], val[useful]
     out = np.zeros((len(lo), len(marks)), np.float32)
-    for i in range(0, len(col), 1 << 13):
-        r = row[i : i + (1 << 13)]
-        first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-        out[r[first]] += np.add.reduceat(dense[col[i : i + (1 << 13)]] * v[i : i + (1 << 13), None], first, axis=0)
+    own, sub, val = features(codes, lo, hi)
+    place = np.zeros(TABLE, np.int32)
+    for first in range(0, len(marks), LANDMARKS_AT_ONCE):
+        mark_codes, mark_lo, mark_hi = joined(marks[first : first + LANDMARKS_AT_ONCE])
+        mark_own, mark_sub, mark_val = features(mark_codes, mark_lo, mark_hi)
+        kept, compact = np.unique(mark_sub, return_inverse=True)
+        dense = np.zeros((len(kept), len(mark_lo)), np.float32)
+        np.add.at(dense, (compact, mark_own), mark_val / norms(mark_lo, mark_hi)[mark_own])
+        place[kept] = np.arange(1, len(kept) + 1)
+        col = place[sub]
+        useful = np.flatnonzero(col)
+        col, row, v = col[useful] - 1, own[useful], val[useful]
+        place[kept] = 0
+        part = out[:, first : first + len(mark_lo)]
+        for i in range(0, len(col), 1 << 15):
+            r = row[i : i + (1 << 15)]
+            starts = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+            part[r[starts]] += np.add.reduceat(dense[col[i : i + (1 << 15)]] * v[i : i + (1 << 15), None], starts, axis=0)
     return out / norms(lo, hi)[:, None].astype(np.float32)
 
 
