@@ -27,8 +27,22 @@ def local_session(cores: int = 8, shuffle_partitions: int | None = None) -> Spar
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or where that is unset a folder made for this session (tests)."""
+    """A folder of this application in the one all executors share, spark.checkpoint.dir; it goes when the application ends.
+
+    Where that is unset, a local session (tests) gets a folder of its own; a cluster has none that all machines see, so it raises.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        own = f"{folder.rstrip('/')}/voxloom-{spark.sparkContext.applicationId}"
+        if getattr(spark, "_voxloom_folder", None) != own:
+            spark._voxloom_folder = own
+            where = spark._jvm.org.apache.hadoop.fs.Path(own)
+            system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+            system.mkdirs(where)
+            system.deleteOnExit(where)
+        return own
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir isn't set; it must name a folder that all executors share")
     if not folder:
         folder = getattr(spark, "_voxloom_folder", None)
         if not folder:
@@ -49,7 +63,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    read = spark.read.schema(df.schema).parquet(path)
+    read._voxloom_path = path
+    return read
+
+
+def discarded(*tables: DataFrame) -> None:
+    """Deletes tables of stored() that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_voxloom_path", None)
+        if path:
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def shipped(spark: SparkSession) -> None:
