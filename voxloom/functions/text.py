@@ -6,9 +6,12 @@ Null in, null out, unless said otherwise.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,23 +24,65 @@ PARTICLES = ("එක", "එකේ", "එකට", "එකෙන්", "එකක
 SCRIPT_WORD = r"[\x{0D80}-\x{0DFF}\x{200D}]+"
 #: Letters, marks and numbers count in comparisons.
 COUNTING = r"[\p{L}\p{M}\p{N}]"
-#: A separator within a number: a point or comma between digits, or one white space before exactly three digits.
+# A fixed value: a separator within a number is a point or comma between digits, or one white space before exactly three digits.
 NUMBER_SEPARATOR = r"(?U)(?<=\d)(?:[.,]|\s(?=\d{3}(?!\d)))(?=\d)"
 
 
-def _mapped(texts: pa.Array, change) -> pa.Array:
-    return pa.array([None if t is None else change(t) for t in texts.to_pylist()], pa.string())
+def _where(texts: pa.Array, mask: pa.Array, change: Callable[[str], str]) -> pa.Array:
+    """texts with those of mask changed one by one; the others stay as they are."""
+    mask = pc.fill_null(mask, False)
+    if not pc.any(mask).as_py():
+        return texts
+    return pc.replace_with_mask(texts, mask, pa.array(list(map(change, texts.filter(mask).to_pylist())), pa.string()))
+
+
+@cache
+def _class(form: str) -> str:
+    """An expression for texts that a normal form, or folding (fold), may treat otherwise than Arrow's simple functions do.
+
+    For normal forms: characters that change, that move, or that compose with one before them; Sinhala's by their pairs.
+    """
+    if form == "fold":
+        chars = [chr(c) for c in (*range(0x80, 0xD800), *range(0xE000, 0x20000))]
+        odd = [ord(c) for c, low in zip(chars, pc.utf8_lower(pa.array(chars)).to_pylist(), strict=True) if c.casefold() != low]
+    else:
+        seconds = {*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)}  # of Korean syllables
+        others = [c for c in (*range(0x80, 0x0D80), *range(0x0E00, 0xAC00), *range(0xD7A4, 0xD800), *range(0xE000, 0x20000), *range(0x2F800, 0x2FA20))]
+        for c in others:
+            parts = unicodedata.decomposition(chr(c)).split()
+            if len(parts) == 2 and parts[0][0] != "<":
+                seconds.add(int(parts[1], 16))
+        odd = [c for c in others if c in seconds or unicodedata.combining(chr(c)) or not unicodedata.is_normalized(form, chr(c))]
+    spans: list[list[int]] = []
+    for c in odd:
+        if spans and spans[-1][1] == c - 1:
+            spans[-1][1] = c
+        else:
+            spans.append([c, c])
+    found = "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in spans) + "]"
+    return found if form == "fold" else found + r"|\x{DD9}[\x{DCA}\x{DCF}\x{DDF}]|\x{DDC}\x{DCA}"
+
+
+def normal(texts: pa.Array, form: str) -> pa.Array:
+    """NFC or NFKC; only texts with a character that the form may change or move are looked at one by one."""
+    return _where(texts, pc.match_substring_regex(texts, _class(form)), lambda t: unicodedata.normalize(form, t))
+
+
+def casefolded(texts: pa.Array) -> pa.Array:
+    """Full case folding; Arrow's lower case where that is the same."""
+    odd = pc.match_substring_regex(texts, _class("fold"))
+    return _where(pc.if_else(pc.fill_null(odd, False), texts, pc.utf8_lower(texts)), odd, str.casefold)
 
 
 @F.arrow_udf(T.StringType())
 def nfc(texts: pa.Array) -> pa.Array:
-    return _mapped(texts, lambda t: t if unicodedata.is_normalized("NFC", t) else unicodedata.normalize("NFC", t))
+    return normal(texts.cast(pa.string()), "NFC")
 
 
 @F.arrow_udf(T.StringType())
 def folded(texts: pa.Array) -> pa.Array:
     """Compatibility form, fully case-folded."""
-    return _mapped(texts, lambda t: unicodedata.normalize("NFKC", t).casefold())
+    return casefolded(normal(texts.cast(pa.string()), "NFKC"))
 
 
 @F.arrow_udf(T.StringType())
@@ -90,7 +135,7 @@ def sentence_key(text: Column) -> Column:
 
 @F.arrow_udf(T.StringType())
 def folded_case(texts: pa.Array) -> pa.Array:
-    return _mapped(texts, str.casefold)
+    return casefolded(texts.cast(pa.string()))
 
 
 def is_latin(word: Column) -> Column:
@@ -114,11 +159,20 @@ def flat_line(text: Column) -> Column:
     return F.btrim(F.regexp_replace(text, r"[\t\n\x0B\f\r\x{85}\x{2028}\x{2029}]", " "))
 
 
-def audio_path(folder: str, utterance: Column) -> Column:
-    return F.concat_ws("/", F.lit(folder), F.lit("data"), F.substring(utterance, 1, 2), F.concat(utterance, F.lit(".flac")))
+def audio_path(folder: Column, utterance: Column) -> Column:
+    """Where an utterance's recording lies; null without folder or utterance."""
+    return F.concat(folder, F.lit("/data/"), F.substring(utterance, 1, 2), F.lit("/"), utterance, F.lit(".flac"))
 
 
 def with_language(config: Column, language: str) -> Column:
-    """A JSON configuration whose list of languages holds the language; added at the end if it's absent."""
+    """A JSON configuration with the language at the end of its list of languages; the rest stays as written, byte by byte.
+
+    The separator is the one between the list's last two items, or a comma and a space. A configuration that lists it already
+    is unchanged; one without a list, or with an empty one, gives null.
+    """
     listed = F.from_json(config, "support_languages array<string>")["support_languages"]
-    return F.to_json(F.struct(F.array_union(listed, F.array(F.lit(language))).alias("support_languages")))
+    opened = F.regexp_extract(config, r'"support_languages"\s*:\s*\[[^\]]*"', 0)
+    between = F.when(F.size(listed) > 1, F.regexp_extract(opened, r'"([^"]*)"[^"]*"$', 1)).otherwise(", ")
+    end = F.instr(config, opened) + F.length(opened)
+    added = F.concat(F.substring(config, F.lit(1), end - 1), between, F.to_json(F.array(F.lit(language))).substr(F.lit(2), F.length(F.to_json(F.array(F.lit(language)))) - 2), F.substring(config, end, F.length(config)))
+    return F.when(F.array_contains(listed, language), config).when((F.size(listed) > 0) & (opened != ""), added)
