@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Speakers whose names the driver shuffles at most.
+MOST_SPEAKERS = 5_000_000
+
+
 def counts(utterances: DataFrame) -> DataFrame:
     """speaker, utterances."""
     return utterances.where("speaker IS NOT NULL").groupBy("speaker").agg(F.count("*").alias("utterances"))
@@ -25,8 +30,10 @@ def hash_split(by_speaker: DataFrame, seed: int, test: int, dev: int) -> DataFra
 
 
 def shuffled_split(by_speaker: DataFrame, seed: int, test: int, dev: int) -> DataFrame:
-    """As hash_split, by the standard library's seeded shuffle of the sorted speakers. The names, a table of speakers, pass the driver."""
-    names = sorted(r[0] for r in by_speaker.select("speaker").collect())
+    """As hash_split, by the standard library's seeded shuffle of the sorted speakers. The names pass the driver, at most MOST_SPEAKERS; more raise, and hash_split serves them."""
+    names = sorted(r[0] for r in by_speaker.select("speaker").limit(MOST_SPEAKERS + 1).collect())
+    if len(names) > MOST_SPEAKERS:
+        raise ValueError(f"more than {MOST_SPEAKERS} speakers; their split is by hash")
     if test + dev >= len(names):
         raise ValueError("test and dev take all speakers")
     random.Random(seed).shuffle(names)
@@ -54,35 +61,50 @@ def seeded_sample(keys: list, count: int, seed: int) -> list:
     return sorted(random.Random(seed).sample(sorted(keys), count))
 
 
-class SplitMix64:
-    """The generator of epoch orders."""
-
-    def __init__(self, seed: int):
-        self.state = seed & MASK
+# The public 64-bit generator's increment, multipliers and shifts.
+GAMMA, MIX, SHIFTS = 0x9E3779B97F4A7C15, (0xBF58476D1CE4E5B9, 0x94D049BB133111EB), (30, 27, 31)
+#: Records whose order, a sequence by its definition, is made in one process; more raise, and hashed_order serves them.
+MOST = 20_000_000
 
-    def next(self) -> int:
-        self.state = (self.state + GAMMA) & MASK
-        z = self.state
-        z = (z ^ (z >> 30)) * 0xBF58476D1CE4E5B9 & MASK
-        z = (z ^ (z >> 27)) * 0x94D049BB133111EB & MASK
-        return z ^ (z >> 31)
 
-    def below(self, bound: int) -> int:
-        """A number under bound, without bias."""
-        most = MASK - MASK % bound
-        while (x := self.next()) >= most:
-            pass
-        return x % bound
+def draws(state: int, n: int) -> np.ndarray:
+    """The n numbers that follow a state. Each is a mix of its own place in the sequence, so all are made at once."""
+    x = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(GAMMA) + np.uint64(state % (1 << 64))
+    for shift, factor in zip(SHIFTS, (*MIX, 1), strict=True):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x
 
 
-# The public generator's increment, and 64 bits.
-GAMMA, MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
+def choices(state: int, bounds: np.ndarray) -> np.ndarray:
+    """A number under each bound in turn; draws in the generator's last, incomplete run of a bound are passed over."""
+    bounds = bounds.astype(np.uint64)
+    whole = np.uint64((1 << 64) - 1)
+    drawn, used = draws(state, len(bounds)), len(bounds)
+    while len(over := np.flatnonzero(drawn >= whole - whole % bounds)):
+        drawn = np.concatenate([np.delete(drawn, over[0]), draws(state + used * GAMMA, 1)])
+        used += 1
+    return (drawn % bounds).astype(np.int64)
 
 
 def epoch_order(n: int, seed: int, epoch: int) -> list[int]:
     """The order of n records in an epoch: a function of seed and epoch only, so a resumed run goes on as it would have."""
-    draw, order = SplitMix64(seed + epoch * GAMMA), list(range(n))
-    for i in range(n - 1, 0, -1):
-        j = draw.below(i + 1)
+    if n > MOST:
+        raise ValueError(f"{n} records; orders of more than {MOST} are by hash")
+    order = list(range(n))
+    last = np.arange(n - 1, 0, -1)
+    for i, j in zip(last.tolist(), choices(seed + epoch * GAMMA, last + 1).tolist(), strict=True):
         order[i], order[j] = order[j], order[i]
     return order
+
+
+def hashed_order(rows: DataFrame, key: str, seed: int, epoch: int) -> DataFrame:
+    """rows with place, from 0: their order by a hash of seed, epoch and key, for any number of rows.
+
+    Rows are ranked within 65,536 ranges of the hash; the ranges' counts, a table of that size, give the offsets.
+    """
+    hashed = rows.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}\t{epoch}\t"), F.col(key).cast("string"))))
+    hashed = hashed.withColumn("_range", F.substring("_h", 1, 4))
+    sizes = hashed.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy("_h", key))
+    return hashed.withColumn("_within", within).join(F.broadcast(before), "_range").withColumn("place", F.col("_before") + F.col("_within") - 1).drop("_h", "_range", "_within", "_before")
