@@ -96,3 +96,48 @@ def test_resumed_labels_and_states(spark):
     files = spark.createDataFrame([("1", "state.json"), ("1", "w"), ("2", "w")], "folder string, name string")
     assert [r.folder for r in labelling.complete_states(files).collect()] == ["1"]
     assert labelling.unlabelled(files.select(F.col("name").alias("file")), texts.select(F.lit("w").alias("file"))).count() == 1
+
+
+def test_other_readers(spark):
+    given = lambda *lines: spark.createDataFrame([("p", i, t) for i, t in enumerate(lines)], "path string, pos long, line string")
+    assert [tuple(r) for r in readers.vocabulary(given("ක\t3", "", "ග\tx")).select("word", "count").collect()] == [("ක", 3), ("ග", None)]
+    got = readers.split_transcripts(given("1\ta.wav\tHi there\thi there\th i\t9\tF", "2\tb.wav"))
+    assert [tuple(r)[2:] for r in got.collect()] == [("a.wav", "Hi there", None), ("b.wav", None, "expected 7 columns")]
+    assert [(r.file, r.transcript) for r in readers.spaced_transcripts(given("7-2 TWO WORDS", "7-1 ONE")).collect()] == [("7-1.flac", "ONE"), ("7-2.flac", "TWO WORDS")]
+    configs = spark.createDataFrame([('{"quantization":{"group_size":64,"bits":4}}',), ('{"quantization":{"group_size":64,"bits":4,"mode":"mx"}}',), ("{}",)], "value string")
+    assert [tuple(r) for r in readers.quantisation(configs).collect()] == [(64, 4, "affine", None), (64, 4, "mx", "unknown mode"), (None, None, "affine", None)]
+
+
+def test_shards_of_labels(spark, tmp_path):
+    (tmp_path / "one.tsv").write_text("", encoding="utf-8")
+    (tmp_path / "many").mkdir()
+    assert readers.shards(spark, str(tmp_path), "one") == [f"{tmp_path}/one.tsv"] and readers.shards(spark, str(tmp_path), "many") == [f"{tmp_path}/many/*.tsv"]
+
+
+def test_other_sinks(spark, tmp_path):
+    read = lambda name: sorted(line for p in (tmp_path / name).rglob("part*") for line in p.read_text(encoding="utf-8").splitlines())
+    words = spark.createDataFrame([(0, "a", 1), (0, "b", 2), (1, "c", 3)], "chunk long, word string, rank long")
+    sinks.chunked(words, str(tmp_path / "c"))
+    assert {p.name: sorted(x.read_text() for x in p.glob("part*")) for p in (tmp_path / "c").glob("chunk*")} == {"chunk=0": ["a\nb\n"], "chunk=1": ["c\n"]}
+    sinks.transcripts(spark.createDataFrame([("/a", "x\ty", None, None, 1.005, 40.4)], "audio string, reference string, hypothesis string, language string, seconds double, milliseconds double"), str(tmp_path / "t"))
+    assert read("t") == ["/a\tx y\t\t\t1.01\t40", "audio\treference\thypothesis\tlanguage\tseconds\tms"] or read("t")[0].startswith("/a\tx y\t\t\t1.0")
+    for step in (1, 2):
+        sinks.metrics(spark.createDataFrame([(step, 0.5)], "step long, loss double"), str(tmp_path / "m"))
+    assert [json.loads(x)["step"] for x in read("m")] == [1, 2]
+    for n in (1, 2):
+        sinks.report(spark.createDataFrame([(n,)], "utterances long"), str(tmp_path / "r"))
+    assert [json.loads(x) for x in read("r")] == [{"utterances": 2}]
+
+
+def test_no_silent_local_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from voxloom import session
+
+    away = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    try:
+        session.shared_folder(away)
+    except ValueError as error:
+        assert "spark.checkpoint.dir" in str(error)
+    else:
+        raise AssertionError("a cluster got a folder of one machine")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CHUNK_FRAMES, WINDOW_CHUNKS = 100, 8
 
@@ -13,11 +17,6 @@ def step_position(step: Column, steps_per_epoch: int) -> Column:
     return F.struct(F.floor(step / steps_per_epoch).alias("epoch"), F.pmod(step, F.lit(steps_per_epoch)).alias("step"))
 
 
-def steps(order: DataFrame, per_step: int) -> DataFrame:
-    """order (at, record) with the step of each record; the last step may be short."""
-    return order.withColumn("step", F.floor(F.col("at") / per_step))
-
-
 def micro_batches(lengths: DataFrame, budget: int) -> DataFrame:
     """step, at, length, batch: longest first, equal lengths in their order, a batch's rows times its longest within the budget; one longer stands alone.
 
@@ -58,6 +57,23 @@ def prompt(prefix: Column, placeholder: int, n: Column, suffix: Column, label: C
     return F.concat(prefix, F.array_repeat(F.lit(placeholder), n.cast("int")), suffix, label, F.array(F.lit(end)))
 
 
+def tokeniser(encode: Callable[[list[str]], list[list[int]]]) -> Callable[[Column], Column]:
+    """A column function of any tokeniser, given as a function of a list of texts; null stays null."""
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def run(texts: pa.Array) -> pa.Array:
+        some = [t is not None for t in texts.to_pylist()]
+        coded = iter(encode(texts.drop_null().to_pylist()))
+        return pa.array([next(coded) if s else None for s in some], pa.list_(pa.int32()))
+
+    return run
+
+
+def audio_places(ids: Column, placeholder: int) -> Column:
+    """The places, from 0, of the placeholders in ids."""
+    return F.filter(F.transform(ids, lambda x, i: F.when(x == placeholder, i)), lambda p: p.isNotNull())
+
+
 def targets(ids: Column, prompt_length: Column) -> Column:
     """Places whose next token is a label's, with that token: from the last of the prompt to the last but one."""
     places = F.when(F.size(ids) > prompt_length, F.sequence(prompt_length - 1, F.size(ids) - 2)).otherwise(F.array().cast("array<int>"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+import hashlib
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def git_id(content: Column) -> Column:
@@ -39,9 +42,28 @@ def safe_members(members: DataFrame, top: str) -> DataFrame:
 
 
 def ordered_digest(rows: DataFrame, by: str, order: str, line: Column, name: str = "digest") -> DataFrame:
-    """by, digest, records: SHA-256 over each group's lines in order."""
-    lines = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("l"))))
-    return rows.groupBy(by).agg(lines.alias("x"), F.count("*").alias("records")).select(by, F.sha2(F.array_join(F.transform("x", lambda e: e["l"]), ""), 256).alias(name), "records")
+    """by, digest, records: SHA-256 over each group's lines in order.
+
+    A digest is one sequence by its nature, so a group's lines pass one task, sorted and batch by batch; none is held whole.
+    """
+    kept = rows.select(F.col(by).cast("string").alias(by), F.col(order).alias("_order"), line.alias("_line"))
+    sorted_ = kept.repartition(by).sortWithinPartitions(by, "_order").select(by, "_line")
+    return sorted_.mapInArrow(_digests, "k string, d string, n long").toDF(by, name, "records")
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    last, state, n, seen = None, None, 0, False
+    out = lambda: pa.RecordBatch.from_arrays([pa.array([last], pa.string()), pa.array([state.hexdigest()]), pa.array([n])], ["k", "d", "n"])
+    for batch in batches:
+        for key, line in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):
+            if not seen or key != last:
+                if seen:
+                    yield out()
+                last, state, n, seen = key, hashlib.sha256(), 0, True
+            state.update((line or "").encode())
+            n += 1
+    if seen:
+        yield out()
 
 
 def export_totals(arrays: DataFrame, width: int) -> DataFrame:
@@ -49,3 +71,38 @@ def export_totals(arrays: DataFrame, width: int) -> DataFrame:
     return arrays.agg((F.coalesce(F.sum(F.size("v")), F.lit(0)) * width).alias("bytes"), F.coalesce(F.sum(F.size("v")), F.lit(0)).alias("parameters"), F.count("*").alias("arrays"))
 
 
+
+
+def weight_files(arrays: DataFrame, width: int, file: str) -> DataFrame:
+    """key, file, first_byte, bytes of arrays (key, v) stored one after the other in the order of their keys.
+
+    Keys are few against numbers; their sizes, not the numbers, are ordered.
+    """
+    sizes = arrays.select("key", (F.size("v") * width).cast("long").alias("bytes"))
+    upto = F.sum("bytes").over(Window.orderBy("key"))
+    return sizes.select("key", F.lit(file).alias("file"), (upto - F.col("bytes")).alias("first_byte"), "bytes")
+
+
+def selected_weights(arrays: DataFrame, prefix: str = "", without: tuple[str, ...] = ()) -> DataFrame:
+    """Arrays whose key begins with prefix and ends in none of the endings of without."""
+    kept = F.col("key").startswith(prefix)
+    for ending in without:
+        kept = kept & ~F.col("key").endswith(ending)
+    return arrays.where(kept)
+
+
+def needed(sources: DataFrame, chosen: list[str], given: list[str]) -> DataFrame:
+    """corpus, sources: the corpora that chosen sources (source, corpus) need and that aren't given."""
+    return sources.where(F.col("source").isin(chosen) & ~F.col("corpus").isin(given)).groupBy("corpus").agg(F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"))
+
+
+def layout(drawn: DataFrame, recordings: DataFrame, out: str, shards: int) -> DataFrame:
+    """shard, file, path, target, problem of drawn files (file, shard): where each is to lie and the recording it stands for.
+
+    recordings: file, target. One shard has no folder of its own. A file without a recording is a problem, and so are (file, path
+    null) recordings already in a shard's folder (drawn rows with a null shard) that weren't drawn.
+    """
+    folder = F.lit(out) if shards == 1 else F.concat(F.lit(f"{out}/"), (F.col("shard") + 1).cast("string"))
+    joined = drawn.join(recordings, "file", "left")
+    problem = F.when(F.col("shard").isNull(), "not drawn").when(F.col("target").isNull(), "no recording")
+    return joined.select("shard", "file", F.concat(folder, F.lit("/"), "file").alias("path"), "target", problem.alias("problem"))

@@ -131,3 +131,39 @@ def language_report(transcripts: DataFrame, *by: str) -> DataFrame:
 def languages(transcripts: DataFrame) -> DataFrame:
     """language, utterances; no language is 'none'."""
     return transcripts.groupBy(F.coalesce("language", F.lit("none")).alias("language")).agg(F.count("*").alias("utterances"))
+
+
+# The two letters of the sources' languages in the names of their evaluation files.
+SHORT = {"en_us": "en", "cmn_hans_cn": "zh", "es_419": "es", "fr_fr": "fr", "de_de": "de"}
+
+
+def evaluation_records(references: DataFrame, split: str, folder: str) -> DataFrame:
+    """name, source, audio, record of references (source, file, transcript): what an evaluation file of each source's language holds.
+
+    Glossed sources lose their glosses. Sources without a short name have no such file.
+    """
+    known = references.join(F.broadcast(sources(references.sparkSession)), "source").where(F.col("source").isin(*SHORT))
+    short = F.coalesce(*(F.when(F.col("source") == code, name) for code, name in SHORT.items()))
+    said = F.when(F.col("glossed"), X.without_glosses(F.col("transcript"))).otherwise(F.col("transcript"))
+    audio = F.concat_ws("/", F.lit(folder), "source", F.lit("audio"), F.lit(split), "file")
+    record = F.concat(F.lit("language "), "language", F.lit(X.MARKER), said)
+    return known.select(F.concat(F.lit("fleurs_"), short, F.lit(f"_{split}")).alias("name"), "source", audio.alias("audio"), record.alias("record"))
+
+
+def mismatches(labels: DataFrame, references: DataFrame) -> DataFrame:
+    """source, problem, files: labels (source, file) without a reference, and references of fleurs sources without a label. Either stops scoring; other corpora are labelled in part."""
+    known = F.broadcast(sources(labels.sparkSession).select("source", "corpus"))
+    keys = ["source", "file"]
+    a, b = labels.select(*keys).distinct().join(known, "source"), references.select(*keys).distinct().join(known, "source")
+    unknown = a.join(b, keys, "left_anti").select("source", F.lit("no reference").alias("problem"))
+    missing = b.where("corpus = 'fleurs'").join(a, keys, "left_anti").select("source", F.lit("no label").alias("problem"))
+    return unknown.unionByName(missing).groupBy("source", "problem").agg(F.count("*").alias("files"))
+
+
+def report_sentences(tallies: DataFrame, *by: str) -> DataFrame:
+    """by, line of tallies: an evaluation in a sentence; parts about Latin words and cut hypotheses only where there are any."""
+    r = lambda a, b: F.format_string("%.2f", 100.0 * F.col(a) / F.greatest(F.col(b), F.lit(1)))
+    latin = F.when(F.col("latin_in_references") > 0, F.concat(F.lit("Latin words "), F.col("latin_matched").cast("string"), F.lit(" of "), F.col("latin_in_references").cast("string")))
+    short = F.when(F.col("truncated") > 0, F.concat(F.col("truncated").cast("string"), F.lit(" under half as long")))
+    head = F.concat(F.col("utterances").cast("string"), F.lit(" utterances, CER "), r("character_errors", "characters"), F.lit(" %, WER "), r("word_errors", "words"), F.lit(" %"))
+    return tallies.select(*by, F.concat_ws(", ", head, latin, short).alias("line"))

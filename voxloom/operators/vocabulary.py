@@ -12,14 +12,15 @@ CATEGORIES = ("E", "N", "P")
 
 
 def count_words(utterances: DataFrame, expression: str = X.SCRIPT_WORD) -> DataFrame:
-    """word, count, first_pos of every word of utterances (pos, text). first_pos orders words by their first appearance."""
+    """word, count, first_pos, first_at of every word of utterances (pos, text): row and place of its first appearance."""
     found = utterances.select("pos", F.posexplode(F.regexp_extract_all("text", F.lit(expression), F.lit(0))).alias("at", "word"))
-    return found.groupBy("word").agg(F.count("*").alias("count"), F.min(F.col("pos") * 1_000_000 + F.col("at")).alias("first_pos"))
+    first = F.min(F.struct("pos", "at")).alias("first")
+    return found.groupBy("word").agg(F.count("*").alias("count"), first).select("word", "count", F.col("first.pos").alias("first_pos"), F.col("first.at").alias("first_at"))
 
 
 def vocabulary(counts: DataFrame, min_count: int = 3, chunk: int = 3000) -> DataFrame:
     """word, count, rank, chunk of the words found min_count times or more: commonest first, ties by first appearance."""
-    top = ranked(counts.where(F.col("count") >= min_count), "count", "first_pos", 1 << 34)
+    top = ranked(counts.where(F.col("count") >= min_count), "count", "first_pos", 1 << 14, ("first_at",))
     return top.select("word", "count", "rank", F.floor((F.col("rank") - 1) / chunk).alias("chunk"))
 
 
@@ -94,3 +95,22 @@ def written(utterances: DataFrame, loanwords: DataFrame, particles: tuple[str, .
     rows = utterances.withColumn("cleaned", X.clean(F.col("text"))).where("cleaned <> ''").join(changes, "pos", "left")
     words = F.transform(F.split("cleaned", " "), lambda w, i: F.coalesce(F.try_element_at("changes", i), w))
     return rows.withColumn("written", F.when(F.col("changes").isNull(), F.col("cleaned")).otherwise(F.array_join(words, " "))).drop("changes")
+
+
+def broken_invariants(lines: DataFrame) -> DataFrame:
+    """path, pos, reason of lines (path, pos, line) of four fields and a known category that break an invariant, with the first they break.
+
+    The word is composed, of Sinhala letters and joiners, listed once, and longer than its suffix, which it ends in; the English
+    spelling has ASCII letters, spaces and hyphens only. The order of lines is another: each file's words ascend.
+    """
+    fields = F.split("line", "\t")
+    rows = lines.where(F.col("line").rlike(r"(?U)\S") & (F.size(fields) == 4) & fields[1].isin(*CATEGORIES)).select("path", "pos", *(fields[i].alias(c) for i, c in ((0, "word"), (2, "english"), (3, "suffix"))))
+    times = rows.groupBy("word").agg(F.count("*").alias("times"))
+    before = F.lag("word").over(Window.partitionBy("path").orderBy("pos"))
+    known = rows.withColumn("before", before).join(times, "word").withColumn("composed", X.nfc(F.col("word")) == F.col("word"))
+    rules = (
+        ("word not composed", ~F.col("composed")), ("word of other letters", ~F.col("word").rlike(r"^[\x{0D80}-\x{0DFF}\x{200C}\x{200D}]+$")), ("english of other letters", ~F.col("english").rlike("^[A-Za-z][A-Za-z -]*$")),
+        ("suffix isn't the word's ending", ~F.col("word").endswith(F.col("suffix")) | (F.col("word") == F.col("suffix"))), ("listed more than once", F.col("times") > 1), ("out of order", F.col("before") > F.col("word")),
+    )
+    reason = F.coalesce(*(F.when(test, name) for name, test in rules))
+    return known.withColumn("reason", reason).where("reason IS NOT NULL").select("path", "pos", "reason")

@@ -93,16 +93,19 @@ judged AS (SELECT path, line_no, f[1] AS word, f[2] AS category, f[3] AS english
 merged AS (SELECT word, category, english, suffix, frequency FROM judged WHERE problem IS NULL QUALIFY row_number() OVER (PARTITION BY word ORDER BY path, line_no) = 1) """
 )
 _LOANS = f"""loans AS (SELECT {_clean("f[1]")} AS word, f[2] AS category, f[3] AS english, trim(f[4], chr(8205) || chr(8204)) AS suffix, path, line_no FROM (SELECT path, line_no, string_split(line, chr(9)) AS f FROM loanword_lines WHERE line IS NOT NULL) WHERE len(f) = 4 AND f[2] = 'E' QUALIFY row_number() OVER (PARTITION BY {_clean("f[1]")} ORDER BY path DESC, line_no DESC) = 1)"""
-_REWRITES = f"""WITH {_LISTS}, {_LOANS}, said AS (SELECT pos, unnest(x) AS before, generate_subscripts(x, 1) AS i FROM (SELECT pos, string_split({_clean("text")}, ' ') AS x FROM lists)),
-r AS (SELECT pos, i, before, coalesce(CASE WHEN suffix = '' THEN english WHEN suffix IN {_PARTICLES} THEN english || ' ' || suffix END, before) AS after FROM said LEFT JOIN loans ON loans.word = before WHERE before <> '') """
-
 _BY_SPEAKER = "b AS (SELECT speaker, count(*) AS utterances FROM utt_spk_text WHERE speaker IS NOT NULL GROUP BY speaker)"
 _HASH_SPLIT = f"WITH {_BY_SPEAKER}, o AS (SELECT *, row_number() OVER (ORDER BY md5('52' || chr(9) || speaker), speaker) AS k FROM b), s AS (SELECT speaker, utterances, CASE WHEN k <= 6 THEN 'test' WHEN k <= 9 THEN 'dev' ELSE 'train' END AS split FROM o) "
 _SAMPLE = "WITH k AS (SELECT DISTINCT file FROM replay WHERE source = 'librispeech'), d AS (SELECT file FROM k ORDER BY md5('52' || chr(9) || file), file LIMIT 40), s AS (SELECT file, (row_number() OVER (ORDER BY file) - 1) % 4 AS shard FROM d) "
-_MARKS = "m AS (SELECT speaker, min(split) AS split FROM speaker_split GROUP BY speaker)"
-_RECORDS = f"WITH {_MARKS}, r AS MATERIALIZED (SELECT utterance, split, {_key('text')} AS key FROM utt_spk_text JOIN m USING (speaker) WHERE text IS NOT NULL)"
-_HELD = _RECORDS + ", h AS (SELECT * FROM r WHERE split <> 'train' OR key NOT IN (SELECT key FROM r WHERE split <> 'train')) "
 _OWN = "'/corpora/' || source || '/data/' || substring(utterance, 1, 2) || '/' || utterance || '.flac'"
+# of a speaker's rows the last holds
+_MARKS = "m AS (SELECT speaker, split FROM (SELECT *, row_number() OVER () AS k FROM speaker_split) QUALIFY row_number() OVER (PARTITION BY speaker ORDER BY k DESC) = 1)"
+# every word of every utterance, clean and as it is written; utterances with a word, what is written, and its key
+_WRITTEN = f"""WITH {_LOANS}, {_MARKS}, said AS (SELECT pos, unnest(x) AS before, generate_subscripts(x, 1) AS i FROM (SELECT pos, string_split({_clean("text")}, ' ') AS x FROM utt_spk_text WHERE text IS NOT NULL)),
+r AS MATERIALIZED (SELECT pos, i, before, coalesce(CASE WHEN suffix = '' THEN english WHEN suffix IN {_PARTICLES} THEN english || ' ' || suffix END, before) AS after FROM said LEFT JOIN loans ON loans.word = before WHERE before <> ''),
+w AS (SELECT pos, string_agg(before, ' ' ORDER BY i) AS cleaned, string_agg(after, ' ' ORDER BY i) AS written FROM r GROUP BY pos),
+keyed AS MATERIALIZED (SELECT pos, utterance, source, split, cleaned, written, {_key("written")} AS key, {_OWN} AS audio, 'language Sinhala<asr_text>' || written AS record FROM w JOIN utt_spk_text USING (pos) LEFT JOIN m USING (speaker)),
+k AS (SELECT * FROM keyed WHERE split IS NOT NULL) """
+_HELD = _WRITTEN + ", h AS MATERIALIZED (SELECT * FROM k WHERE split <> 'train' OR key NOT IN (SELECT key FROM k WHERE split <> 'train')), files AS (SELECT *, split AS file FROM h UNION ALL SELECT *, split || '_new' FROM h WHERE split <> 'train' AND key NOT IN (SELECT key FROM h WHERE split = 'train')) "
 
 _LENGTHS = "n AS (SELECT doc_id // 128 AS step, doc_id AS \"at\", greatest(1, ceil(n_chars / 10))::BIGINT AS length FROM documents WHERE n_chars IS NOT NULL), o AS (SELECT *, row_number() OVER (PARTITION BY step ORDER BY length DESC, \"at\") AS k FROM n)"
 _PACK = f"""WITH RECURSIVE {_LENGTHS}, p AS (SELECT step, "at", length, k, 0::BIGINT AS batch, 1::BIGINT AS rows, length AS longest FROM o WHERE k = 1
@@ -122,7 +125,20 @@ win AS (SELECT batch, clip, chunk // 8 AS win_no, sum(rows)::BIGINT AS rows FROM
 
 _VECTORS = "WITH v AS (SELECT a.vec_id, a.embedding, b.embedding AS other FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)"
 _UNNESTED = ", u AS (SELECT vec_id, unnest(embedding) AS x, unnest(other) AS y, generate_subscripts(embedding, 1) - 1 AS \"at\" FROM v) "
-_QUANT = "WITH g AS (SELECT vec_id, p AS part, embedding[p * 32 + 1:p * 32 + 32] AS g FROM (SELECT vec_id, embedding, unnest(range(0, len(embedding) // 32)) AS p FROM embeddings)), e AS (SELECT *, list_min(g) AS low, list_max(g) AS high FROM g), q AS (SELECT *, abs(low) > abs(high) AS from_low, greatest(((high - low)::FLOAT / 255::FLOAT)::FLOAT, 1e-7::FLOAT) AS m FROM e) "
+
+
+def _stored(x: str, bits: int, least: int, up: bool) -> str:
+    """The neighbour above or below among floats of so many bits after the first, by the quantum of the value's exponent."""
+    quantum = f"pow(2, greatest(floor(log2(abs({x}::DOUBLE))), {least}) - {bits})"
+    return f"(CASE WHEN {x} = 0 THEN 0 ELSE {'ceil' if up else 'floor'}({x}::DOUBLE / {quantum}) * {quantum} END)::FLOAT"
+
+
+_QUANT = """WITH g AS (SELECT vec_id, p AS part, embedding[p * 32 + 1:p * 32 + 32] AS g FROM (SELECT vec_id, embedding, unnest(range(0, len(embedding) // 32)) AS p FROM embeddings)), e AS (SELECT *, list_min(g) AS low, list_max(g) AS high FROM g),
+b AS (SELECT *, abs(low) > abs(high) AS rising, CASE WHEN abs(low) > abs(high) THEN {low} ELSE {high} END AS bias FROM e), m AS (SELECT *, greatest((CASE WHEN rising THEN (high - bias)::FLOAT ELSE (bias - low)::FLOAT END / 255::FLOAT)::FLOAT, 1e-7::FLOAT) AS s FROM b),
+q AS (SELECT *, CASE WHEN rising THEN {step} ELSE -{step} END AS scale FROM m), l AS (SELECT *, list_transform(g, lambda x: greatest(0, least(255, round_even(((x - bias)::FLOAT / scale)::FLOAT::DOUBLE, 0)))::BIGINT) AS v FROM q) """
+_PACKED = "SELECT vec_id, part, round(scale::DOUBLE, 7) AS scale, round(bias::DOUBLE, 6) AS bias, array_to_string(list_transform(range(0, 8), lambda w: v[w * 4 + 1] + v[w * 4 + 2] * 256 + v[w * 4 + 3] * 65536 + v[w * 4 + 4] * 16777216), ',') AS words FROM l"
+_WEIGHTS = "SELECT CASE WHEN vec_id % 3 = 0 THEN 'audio_tower.' ELSE 'model.' END || 'layers.' || vec_id || CASE vec_id % 4 WHEN 0 THEN '.scales' WHEN 1 THEN '.biases' ELSE '.weight' END AS key, len(embedding) AS n FROM embeddings"
+_CODES = "WITH c AS (SELECT doc_id, n_chars, list_transform(regexp_extract_all(text, '(?s).'), lambda c: unicode(c) + 64) AS x FROM documents WHERE n_chars > 0)"
 _GIT = "sha1(encode('blob ' || octet_length(encode(text))) || unhex('00') || encode(text))"
 
 _Q = r'"([^"]|"")*"'
@@ -143,7 +159,13 @@ def _rejects(table: str, good: str, header: str) -> str:
 FROM {table} WHERE line IS NOT NULL AND NOT regexp_full_match(line, '({_WS})?') AND NOT (line_no = 1 AND line = '{header}') AND NOT regexp_full_match(line, '{good}', 's')"""
 
 
-_FIXED = "round(x, 6)"
+def _rows(table: str, good: str, header: str, names: tuple[str, ...]) -> str:
+    """The good lines' fields, quotes undone."""
+    field = '("(?:[^"]|"")*"|[^"\\t][^\\t]*|)'
+    raw = lambda i: f"regexp_extract(line, '^{field}\\t{field}\\t{field}\\t{field}$', {i}, 's')"
+    bare = lambda i: f"CASE WHEN starts_with({raw(i)}, '\"') THEN replace(substring({raw(i)}, 2, length({raw(i)}) - 2), '\"\"', '\"') ELSE {raw(i)} END"
+    own = ", ".join(f"({bare(i + 1)}){n[n.index('::'):] if '::' in n else ''} AS {n.split('::')[0]}" for i, n in enumerate(names))
+    return f"SELECT DISTINCT path, line_no, {own} FROM {table} WHERE NOT (line_no = 1 AND line = '{header}') AND NOT regexp_full_match(line, '({_WS})?') AND regexp_full_match(line, '{good}', 's')"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -161,22 +183,22 @@ def oracle_sql() -> dict[str, str]:
         "loanword_problems": _JUDGED + "SELECT path, line_no, problem FROM judged WHERE problem IS NOT NULL",
         "loanword_merge": _JUDGED + "SELECT * FROM merged",
         "loanword_shares": _JUDGED + "SELECT category, count(*) AS words, 100.0 * sum(frequency) / (SELECT greatest(1, sum(count)) FROM counts) AS percent FROM merged GROUP BY category",
-        "word_rewrite": _REWRITES + "SELECT pos, string_agg(after, ' ' ORDER BY i) AS rewritten FROM r GROUP BY pos HAVING string_agg(after, ' ' ORDER BY i) <> string_agg(before, ' ' ORDER BY i)",
-        "rewrite_counts": _REWRITES + "SELECT before, after, count(*) AS times FROM r WHERE before <> after GROUP BY ALL",
+        "word_rewrite": _WRITTEN + "SELECT pos, written AS rewritten FROM w WHERE cleaned <> written",
+        "rewrite_counts": _WRITTEN + "SELECT before, after, count(*) AS times FROM r WHERE before <> after GROUP BY ALL",
         "speaker_counts": f"WITH {_BY_SPEAKER} SELECT * FROM b",
         "speaker_split_hash": _HASH_SPLIT + "SELECT * FROM s",
         "speaker_split_sizes": _HASH_SPLIT + "SELECT split, count(*) AS speakers, sum(utterances)::BIGINT AS utterances FROM s GROUP BY split",
         "split_last_wins": "SELECT utterance, speaker, text FROM utt_spk_text QUALIFY row_number() OVER (PARTITION BY utterance ORDER BY pos DESC) = 1",
         "sample_sharded": _SAMPLE + "SELECT * FROM s",
         "sample_speakers": _SAMPLE + "SELECT shard, count(*) AS files, count(DISTINCT split_part(file, '-', 1)) AS speakers FROM s GROUP BY shard",
-        "sentence_keys": f"SELECT pos, {_key('text')} AS key FROM utt_spk_text WHERE text IS NOT NULL",
-        "new_sentences": _RECORDS + " SELECT utterance, split || '_new' AS split FROM r WHERE split <> 'train' AND key NOT IN (SELECT key FROM r WHERE split = 'train')",
+        "sentence_keys": _WRITTEN + "SELECT pos, key FROM keyed",
+        "new_sentences": _WRITTEN + "SELECT utterance, split || '_new' AS split FROM k WHERE split <> 'train' AND key NOT IN (SELECT key FROM k WHERE split = 'train')",
         "hold_out": _HELD + "SELECT utterance, split FROM h",
-        "new_after_hold_out": _HELD + "SELECT split || '_new' AS split, count(*) AS rows FROM h WHERE split <> 'train' AND key NOT IN (SELECT key FROM h WHERE split = 'train') GROUP BY 1",
-        "split_counters": f"WITH {_MARKS}, c AS (SELECT coalesce(split, 'none') AS split, coalesce({_clean('text')}, '') = '' AS empty FROM utt_spk_text LEFT JOIN m USING (speaker)) SELECT split, count(*) AS rows, count(*) FILTER (empty) AS empty, count(*) FILTER (NOT empty) AS written FROM c GROUP BY split",
+        "new_after_hold_out": _HELD + "SELECT file AS split, count(*) AS rows FROM files WHERE file LIKE '%new' GROUP BY file",
+        "split_counters": _WRITTEN + f", c AS (SELECT coalesce(m.split, 'none') AS split, key, coalesce(cleaned <> written, false) AS rewritten, NOT coalesce({_OWN.replace('source', 'u.source').replace('utterance', 'u.utterance')} IN (SELECT audio FROM train WHERE audio IS NOT NULL), false) AS missing FROM utt_spk_text u LEFT JOIN m USING (speaker) LEFT JOIN keyed USING (pos)) SELECT split, count(*) AS rows, count(*) FILTER (key IS NULL) AS empty, count(*) FILTER (key IS NOT NULL) AS written, count(*) FILTER (rewritten) AS rewritten, count(*) FILTER (split = 'train' AND key IN (SELECT key FROM c WHERE split NOT IN ('none', 'train') AND key IS NOT NULL)) AS held_out, count(*) FILTER (missing) AS missing_audio FROM c GROUP BY split",
         "missing_speakers": "SELECT DISTINCT speaker FROM utt_spk_text WHERE speaker IS NOT NULL AND speaker NOT IN (SELECT speaker FROM speaker_split WHERE speaker IS NOT NULL)",
         "clean_text": f"SELECT pos, {_clean('text')} AS cleaned FROM utt_spk_text WHERE text IS NOT NULL",
-        "record_paths": f"SELECT pos, {_OWN} AS audio, 'language Sinhala<asr_text>' || text AS record FROM utt_spk_text WHERE text IS NOT NULL AND source IS NOT NULL",
+        "record_paths": _WRITTEN + "SELECT pos, audio, record FROM keyed WHERE source IS NOT NULL",
         "replay_paths": f"SELECT DISTINCT source, file, language, CASE WHEN corpus = 'librispeech' THEN split_part(file, '-', 1) || '/' || split_part(file, '-', 2) || '/' || file ELSE source || '/audio/' || file END AS path FROM replay JOIN {_SOURCES} USING (source)",
         "audio_present": f"SELECT source, count(*) AS rows FROM utt_spk_text WHERE {_OWN} IN (SELECT audio FROM train) GROUP BY source",
         "label_errors": f"WITH {_ERRORS} SELECT run, audio, source, round(error, 9) AS error FROM errors",
@@ -195,8 +217,8 @@ def oracle_sql() -> dict[str, str]:
         "epoch_steps": "SELECT (o_orderkey // 128) // 7 AS epoch, (o_orderkey // 128) % 7 AS step, count(*) AS records FROM orders GROUP BY ALL",
         "token_budget_pack": _PACK + 'SELECT step, "at", length, batch FROM p',
         "step_totals": _PACK + ", b AS (SELECT step, batch, count(*) * max(length) AS padded, sum(length) AS tokens FROM p GROUP BY ALL) SELECT step, count(*) AS micro_batches, sum(padded)::BIGINT AS padded_tokens, sum(tokens)::BIGINT AS tokens FROM b GROUP BY step",
-        "pad_layout": "WITH i AS (SELECT doc_id, doc_id // 16 AS step, n_chars % 40 + 1 AS n FROM documents WHERE n_chars > 0), l AS (SELECT *, max(n) OVER (PARTITION BY step) AS length FROM i) SELECT doc_id, length, array_to_string(list_concat(range(1, n + 1), list_transform(range(0, length - n), lambda x: 0)), ',') AS inputs FROM l",
-        "prompt_targets": "WITH r AS (SELECT doc_id, n_chars % 30 AS n, n_chars % 7 + 1 AS l FROM documents WHERE n_chars > 0) SELECT doc_id, unnest(range(n + 3, n + 4 + l)) AS place, unnest(list_append(range(10, 10 + l), 9)) AS id FROM r",
+        "pad_layout": _CODES + ", l AS (SELECT *, max(len(x)) OVER (PARTITION BY doc_id // 16) AS length FROM c) SELECT doc_id, length, array_to_string(list_concat(x, list_transform(range(0, length - len(x)), lambda i: 0)), ',') AS inputs FROM l",
+        "prompt_targets": _CODES + f", n AS (SELECT *, {_audio_tokens('n_chars')} AS n FROM c) SELECT doc_id, unnest(range(n + 3, n + 4 + len(x))) AS place, unnest(list_append(x, 9)) AS id FROM n",
         "audio_tokens": f"WITH r AS (SELECT DISTINCT run, audio, floor(seconds * 100)::INT AS frames FROM transcript WHERE seconds > 0) SELECT run, audio, {_audio_tokens('frames')} AS tokens, floor((frames - 1) / 2)::BIGINT + 1 AS convolved FROM r",
         "clip_features": _CHUNKS + "SELECT * FROM features",
         "chunk_windows": _CHUNKS + 'SELECT batch, clip, win_no AS "window", first_row, rows FROM windows',
@@ -211,27 +233,44 @@ def oracle_sql() -> dict[str, str]:
         "ordered_digest": "SELECT source, sha256(string_agg(coalesce(audio, '') || chr(9) || coalesce(text, '') || chr(10), '' ORDER BY pos)) AS digest, count(*) AS records FROM train WHERE source IS NOT NULL GROUP BY source",
         "duplicate_labels": "SELECT file, count(*) AS times FROM replay WHERE file IS NOT NULL GROUP BY file HAVING count(*) > 1",
         "data_quality": "SELECT reason, count(*) AS rows FROM (SELECT CASE WHEN source IS NULL THEN 'no source' WHEN source NOT IN ('en_us', 'cmn_hans_cn', 'es_419', 'fr_fr', 'de_de', 'librispeech') THEN 'unknown source' WHEN error IS NULL THEN 'no error' WHEN NOT isfinite(error) THEN 'not finite' WHEN error < 0 THEN 'negative' WHEN coalesce(label, '') = '' THEN 'no label' END AS reason FROM replay) WHERE reason IS NOT NULL GROUP BY reason",
-        "incremental_unlabelled": "SELECT DISTINCT audio AS file FROM transcript WHERE run = 'run-00000' AND audio NOT IN (SELECT audio FROM transcript WHERE run = 'run-00001')",
+        "incremental_unlabelled": "WITH n AS (SELECT count(DISTINCT run) AS n FROM transcript), f AS (SELECT audio AS file, list_sort(list(DISTINCT run)) AS sets FROM transcript WHERE audio IS NOT NULL AND run IS NOT NULL GROUP BY audio) SELECT file, array_to_string(sets, ',') AS labelled, n - len(sets) AS missing FROM f, n WHERE len(sets) < n",
         "supported_languages": "SELECT language, count(*) AS rows FROM transcript WHERE language NOT IN ('English', 'Chinese', 'Spanish', 'French', 'German', 'Sinhala') GROUP BY language",
         "safe_members": "SELECT split_part(audio, '/', 3) AS folder, count(*) AS members FROM train WHERE pos % 17 <> 0 AND audio LIKE '/corpora/%' AND NOT list_contains(string_split(audio, '/'), '..') GROUP BY 1",
-        "manifest_wanted": "WITH l AS (SELECT doc_id::VARCHAR AS path, octet_length(encode(text)) AS size, md5(text) AS oid, CASE WHEN octet_length(encode(text)) > 2000 THEN sha256(text) END AS lfs FROM documents WHERE text IS NOT NULL AND doc_id % 10 <> 3), w AS (SELECT doc_id::VARCHAR AS path FROM documents WHERE text IS NOT NULL AND doc_id % 2 = 1) SELECT w.path, size, CASE WHEN lfs IS NOT NULL THEN 'sha256' WHEN oid IS NOT NULL THEN 'git' END AS kind, coalesce(lfs, oid) AS expected FROM w LEFT JOIN l ON l.path = w.path",
-        "reference_mismatch": "WITH l AS (SELECT DISTINCT source, file FROM replay WHERE source IS NOT NULL), t AS (SELECT DISTINCT source, string_split(audio, '/')[-1] AS file FROM train WHERE source IN (SELECT source FROM l)) SELECT source, 'no record' AS problem, count(*) AS files FROM (SELECT * FROM l EXCEPT SELECT * FROM t) GROUP BY source UNION ALL SELECT source, 'no label', count(*) FROM (SELECT * FROM t EXCEPT SELECT * FROM l) GROUP BY source",
-        "tolerance_gates": _tally("run, source") + ", own AS (SELECT run, sum(utterances) AS u, sum(character_errors) AS e FROM tallies GROUP BY run), theirs AS (SELECT run, sum(utterances) AS u, sum(character_errors) AS e FROM (SELECT DISTINCT * FROM error_tally) GROUP BY run) SELECT run, own.u = theirs.u AS same_count, abs(own.e - theirs.e) <= 0.01 * greatest(own.e, theirs.e, 1) AS close FROM own JOIN theirs USING (run)",
-        "table_invariants": rf"WITH f AS (SELECT string_split(line, chr(9)) AS f FROM loanword_lines WHERE line IS NOT NULL), w AS (SELECT {_clean('f[1]')} AS word, f[3] AS english, trim(f[4], chr(8205) || chr(8204)) AS suffix FROM f WHERE len(f) = 4 AND f[2] IN ('E', 'N', 'P')), p AS (SELECT CASE WHEN NOT regexp_full_match(word, '[\x{{0D80}}-\x{{0DFF}}\x{{200D}}]+') THEN 'word of other letters' WHEN NOT regexp_matches(english, '^[A-Za-z]') THEN 'english begins otherwise' WHEN NOT regexp_full_match(suffix, '[\x{{0D80}}-\x{{0DFF}}\x{{200D}}]*') THEN 'suffix of other letters' END AS reason FROM w) SELECT reason, count(*) AS rows FROM p WHERE reason IS NOT NULL GROUP BY reason",
+        "manifest_wanted": "SELECT doc_id::VARCHAR AS path, octet_length(encode(text)) AS size, CASE WHEN octet_length(encode(text)) > 2000 THEN 'sha256' WHEN text IS NOT NULL THEN 'git' END AS kind, CASE WHEN octet_length(encode(text)) > 2000 THEN sha256(text) ELSE md5(text) END AS expected FROM documents",
+        "reference_mismatch": f"WITH l AS (SELECT DISTINCT source, file, corpus FROM replay JOIN {_SOURCES} USING (source)), t AS (SELECT DISTINCT source, string_split(audio, '/')[-1] AS file, corpus FROM train JOIN {_SOURCES} USING (source)) SELECT source, 'no reference' AS problem, count(*) AS files FROM (FROM l EXCEPT FROM t) GROUP BY source UNION ALL SELECT source, 'no label', count(*) FROM (FROM t WHERE corpus = 'fleurs' EXCEPT FROM l) GROUP BY source",
+        "tolerance_gates": _tally("run") + """, theirs AS (SELECT run, sum(utterances) AS u, sum(character_errors) AS e FROM (SELECT DISTINCT * FROM error_tally) GROUP BY run),
+a AS (SELECT run, string_split(reference, ' ') AS a, string_split(hypothesis, ' ') AS b FROM pairs WHERE reference IS NOT NULL AND hypothesis IS NOT NULL), g AS (SELECT run, avg(round(len(list_filter(range(1, greatest(len(a), len(b)) + 1), lambda k: a[k] IS NOT DISTINCT FROM b[k])) / greatest(len(a), len(b)), 9)) AS agreement FROM a GROUP BY run)
+SELECT run, utterances = u AS same_count, abs(character_errors - e) <= 0.01 * greatest(character_errors, e) AS close, agreement > 0.97 AS agrees, 1 - character_errors / greatest(characters, 1) > 0.98 AS similar, character_errors / greatest(characters, 1) <= 0.05 AS learnt FROM tallies JOIN theirs USING (run) JOIN g USING (run)""",
+        "table_invariants": rf"WITH f AS (SELECT path, line_no AS pos, string_split(line, chr(9)) AS f FROM loanword_lines WHERE NOT regexp_full_match(line, '({_WS})?')), w AS (SELECT path, pos, f[1] AS word, f[3] AS english, f[4] AS suffix, count(*) OVER (PARTITION BY f[1]) AS times, lag(f[1]) OVER (PARTITION BY path ORDER BY pos) AS before FROM f WHERE len(f) = 4 AND f[2] IN ('E', 'N', 'P')), p AS (SELECT path, pos, CASE WHEN nfc_normalize(word) <> word THEN 'word not composed' WHEN NOT regexp_full_match(word, '[\x{{0D80}}-\x{{0DFF}}\x{{200C}}\x{{200D}}]+') THEN 'word of other letters' WHEN NOT regexp_full_match(english, '[A-Za-z][A-Za-z -]*') THEN 'english of other letters' WHEN NOT suffix(word, suffix) OR word = suffix THEN 'suffix isn''t the word''s ending' WHEN times > 1 THEN 'listed more than once' WHEN before > word THEN 'out of order' END AS reason FROM w) SELECT * FROM p WHERE reason IS NOT NULL",
         "first_records": "SELECT pos, audio FROM train ORDER BY pos LIMIT 100",
-        "language_lists": "WITH l AS (SELECT run, list_sort(list_distinct(list(language))) AS x FROM transcript WHERE language IS NOT NULL GROUP BY run) SELECT run, '{\"support_languages\":[' || list_aggregate(list_transform(CASE WHEN list_contains(x, 'Sinhala') THEN x ELSE list_append(x, 'Sinhala') END, lambda e: '\"' || e || '\"'), 'string_agg', ',') || ']}' AS config FROM l",
+        "language_lists": "WITH l AS (SELECT run, list_sort(list_distinct(list(language))) AS x FROM transcript WHERE language IS NOT NULL GROUP BY run), j AS (SELECT run, x, '\"' || array_to_string(x, '\",\"') || '\"' AS y FROM l) SELECT run, '{\"model_type\":\"asr\",\"support_languages\":[' || y || CASE WHEN list_contains(x, 'Sinhala') THEN '' WHEN len(x) > 1 THEN ',\"Sinhala\"' ELSE ', \"Sinhala\"' END || '],\"layers\":2}' AS config FROM j",
         "tensor_blend": _VECTORS + _UNNESTED + "SELECT vec_id, \"at\", round(((x * 0.25::FLOAT)::FLOAT + (y * 0.75::FLOAT)::FLOAT)::DOUBLE, 4) AS x FROM u",
         "tensor_norm": "WITH n AS (SELECT sqrt(sum(x::DOUBLE * x::DOUBLE)) AS norm FROM (SELECT unnest(embedding) AS x FROM embeddings)) SELECT round(norm, 6) AS norm, round(least(1.0, 1.0 / (norm + 1e-6)), 9) AS scale FROM n",
         "tensor_cosine": _VECTORS + _UNNESTED + "SELECT vec_id, round(sum(x::DOUBLE * y) / sqrt(sum(x::DOUBLE * x) * sum(y::DOUBLE * y)), 9) AS cosine, round(sqrt(sum(x::DOUBLE * x) / sum(y::DOUBLE * y)), 9) AS ratio FROM u GROUP BY vec_id",
         "tensor_sums": "SELECT label, \"at\", round(sum(x::DOUBLE), 6) AS value FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS \"at\" FROM embeddings WHERE label IS NOT NULL) GROUP BY ALL",
-        "tensor_quantise": _QUANT + "SELECT vec_id, part, round((CASE WHEN from_low THEN m ELSE -m END)::DOUBLE, 7) AS scale, round((CASE WHEN from_low THEN low ELSE high END)::DOUBLE, 6) AS bias, 8 AS words FROM q",
-        "tensor_dequantise": "SELECT vec_id, true AS close FROM embeddings",
+        "tensor_quantise": _QUANT.replace("{low}", "low").replace("{high}", "high").replace("{step}", "s") + _PACKED,
+        "tensor_dequantise": _QUANT.replace("{low}", "low").replace("{high}", "high").replace("{step}", "s") + 'SELECT vec_id, part * 32 + i AS "at", round(((v[i + 1]::FLOAT * scale)::FLOAT + bias)::FLOAT::DOUBLE, 5) AS x FROM (SELECT *, unnest(range(0, 32)) AS i FROM l)',
         "adam_update": _VECTORS + _UNNESTED + ", m AS (SELECT vec_id, \"at\", x, (0.1::FLOAT * y)::FLOAT AS m, ((0.001::FLOAT * y)::FLOAT * y)::FLOAT AS v FROM u) SELECT vec_id, \"at\", round((x - ((0.01::FLOAT * m)::FLOAT / (sqrt(v::DOUBLE) / 0.03162277660168379::FLOAT::DOUBLE + 1e-8::FLOAT::DOUBLE))::FLOAT)::DOUBLE, 4) AS x FROM m",
         "sequence_agreement": f"WITH {_PAIRS}, w AS (SELECT run, audio, string_split(reference, ' ') AS a, string_split(hypothesis, ' ') AS b FROM pairs WHERE reference IS NOT NULL AND hypothesis IS NOT NULL), i AS (SELECT *, greatest(len(a), len(b)) AS n, list_filter(range(1, greatest(len(a), len(b)) + 1), lambda k: a[k] IS DISTINCT FROM b[k]) AS off FROM w) SELECT run, audio, off[1] - 1 AS first_mismatch, round((n - len(off)) / n, 9) AS share FROM i",
         "loss_parts": "WITH r AS (SELECT DISTINCT run, audio, milliseconds / 1000 AS loss, len(string_split(reference, ' ')) AS targets, coalesce(expected_language = 'Sinhala', false) AS is_new FROM transcript WHERE milliseconds IS NOT NULL AND reference IS NOT NULL), p AS (SELECT 'all' AS part, * FROM r UNION ALL SELECT CASE WHEN is_new THEN 'new' ELSE 'replay' END, * FROM r) SELECT part, round(sum(loss), 6) AS total, sum(targets)::BIGINT AS targets, round(sum(loss) / sum(targets), 9) AS mean FROM p GROUP BY part",
         "bench_totals": "WITH r AS (SELECT DISTINCT run, audio, milliseconds FROM transcript WHERE milliseconds IS NOT NULL) SELECT run, round(sum(milliseconds) / 1000, 6) AS seconds, round(count(*) / (sum(milliseconds) / 1000), 9) AS utterances_a_second, round(sum(milliseconds) / 1000 / count(*) * 232390 / 3600, 6) AS epoch_hours FROM r GROUP BY run",
         "export_totals": "SELECT 2 * sum(len(embedding))::BIGINT AS bytes, sum(len(embedding))::BIGINT AS parameters, count(*) AS arrays FROM embeddings",
         "weight_keys": "SELECT vec_id AS key, CASE WHEN vec_id % 5 = 0 THEN 'only in the first' ELSE 'another size' END AS problem FROM embeddings WHERE vec_id % 5 = 0 OR vec_id % 7 = 0 UNION ALL SELECT -1, 'only in the second'",
+        "training_files": _HELD + "SELECT file, pos, audio, record FROM files",
+        "token_lengths": "SELECT doc_id, octet_length(encode(text)) AS tokens, coalesce(list_sum(list_transform(string_split(trim(regexp_replace(hex(encode(text)), '(..)', '\\1 ', 'g')), ' '), lambda h: CASE WHEN h = '' THEN 0 ELSE ('0x' || h)::INT + 3 END)), 0)::BIGINT AS sum FROM documents WHERE text IS NOT NULL",
+        "audio_places": f"WITH n AS (SELECT doc_id, {_audio_tokens('n_chars')} AS n FROM documents WHERE n_chars > 0) SELECT doc_id, n, CASE WHEN n > 0 THEN 2 END AS first, CASE WHEN n > 0 THEN n + 1 END AS last FROM n",
+        "needed_corpora": f"SELECT corpus, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM {_SOURCES} WHERE source IN (SELECT source FROM replay) AND corpus <> 'fleurs' GROUP BY corpus",
+        "sample_layout": _SAMPLE + ", t AS (SELECT string_split(audio, '/')[-1] AS file, min(audio) AS target FROM train WHERE source = 'librispeech' AND audio IS NOT NULL GROUP BY 1) SELECT shard, file, '/out/' || (shard + 1) || '/' || file AS path, target, CASE WHEN target IS NULL THEN 'no recording' END AS problem FROM s LEFT JOIN t USING (file)",
+        "error_sentences": _tally("run") + "SELECT run, concat_ws(', ', utterances || printf(' utterances, CER %.2f %%, WER %.2f %%', 100.0 * character_errors / greatest(characters, 1), 100.0 * word_errors / greatest(words, 1)), CASE WHEN latin_in_references > 0 THEN 'Latin words ' || latin_matched || ' of ' || latin_in_references END, CASE WHEN truncated > 0 THEN truncated || ' under half as long' END) AS line FROM tallies",
+        "evaluation_records": f"SELECT 'fleurs_' || short || '_test' AS name, source, '/corpora/' || source || '/audio/test/' || file AS audio, 'language ' || language || '<asr_text>' || CASE WHEN glossed THEN {_BARE.replace('{x}', 'label')} ELSE label END AS record FROM (SELECT DISTINCT source, file, label FROM replay WHERE label IS NOT NULL) JOIN {_SOURCES} USING (source) JOIN (VALUES ('en_us', 'en'), ('cmn_hans_cn', 'zh'), ('es_419', 'es'), ('fr_fr', 'fr'), ('de_de', 'de')) AS n(source, short) USING (source)",
+        "epoch_order_hash": "SELECT pos, row_number() OVER (ORDER BY md5('52' || chr(9) || '1' || chr(9) || pos), pos) - 1 AS place FROM train",
+        "tensor_blend_shares": _VECTORS + _UNNESTED + "SELECT vec_id, \"at\", round(((x * ((vec_id % 5) / 4)::FLOAT)::FLOAT + (y * (1 - (vec_id % 5) / 4)::FLOAT)::FLOAT)::DOUBLE, 4) AS x FROM u",
+        "tensor_quantise_half": _QUANT.replace("{low}", _stored("low", 7, -126, False)).replace("{high}", _stored("high", 7, -126, True)).replace("{step}", _stored("s", 7, -126, True)) + _PACKED,
+        "rounded_half_width": "SELECT vec_id, i - 1 AS \"at\", " + ", ".join(f"{_stored('x', b, e, up)}::DOUBLE AS {n}_{'up' if up else 'down'}" for n, b, e in (("bf", 7, -126), ("fp", 10, -14)) for up in (False, True)) + " FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings)",
+        "weight_selection": f"SELECT key, n FROM ({_WEIGHTS}) WHERE key LIKE 'audio_tower.%' AND key LIKE '%.weight'",
+        "weight_files": f"SELECT key, 'model.safetensors' AS file, coalesce(sum(2 * n) OVER (ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first_byte, 2 * n AS bytes FROM ({_WEIGHTS})",
+        "p5_labels": _rows("label_lines", _GOOD_LABEL, "file\tseconds\tms\ttext", ("file", "seconds::DOUBLE", "ms::DOUBLE", "text")),
+        "p5_loanwords": _rows("loanword_lines", _GOOD_LOAN, "-", ("word", "category", "english", "suffix")),
         "p5_found": _rejects("label_lines", _GOOD_LABEL, "file\tseconds\tms\ttext") + " UNION " + _rejects("loanword_lines", _GOOD_LOAN, "-"),
     }
     return t

@@ -85,6 +85,16 @@ def vocabulary_coverage(s, d):
     return V.coverage(V.count_words(_utterances(s, d)))
 
 
+def _split(s, d):
+    """speaker, split: of a speaker's rows the last in the table holds."""
+    place = F.struct(F.col("_metadata.file_name"), F.col("_metadata.row_index"))
+    return V.last_wins(T(s, d, "speaker_split").select("speaker", "split", place.alias("order")), "speaker", "order", "split")
+
+
+def _audio(utterances):
+    return utterances.withColumn("audio", X.audio_path(F.concat(F.lit("/corpora/"), "source"), F.col("utterance")))
+
+
 def _word_lists(s, d):
     """The classified words themselves as sentences, ten lines each: pos, text."""
     rows = T(s, d, "loanword_lines").where("line IS NOT NULL").select("path", "line_no", F.split("line", "\t")[0].alias("word"))
@@ -172,9 +182,19 @@ def _written(s, d):
 
 def _records(s, d):
     """Written records with their split and the key of what is written; kept, for train and evaluation rows are read apart."""
-    marks = T(s, d, "speaker_split").groupBy("speaker").agg(F.min("split").alias("split"))
-    rows = _written(s, d).join(marks, "speaker")
-    return stored(leakage.keyed(rows.select("utterance", "split", F.col("written").alias("text"))).drop("text"), "records")
+    return stored(_prepared(s, d).select("utterance", "split", "key"), "records")
+
+
+def _prepared(s, d):
+    """All utterances of speakers with a split; preparing stops at the others, which missing_speakers lists."""
+    split = _split(s, d)
+    return leakage.prepared(_audio(_utterances(s, d)).join(split.select("speaker"), "speaker", "left_semi"), split, _loanwords(s, d))
+
+
+def training_files(s, d):
+    """Every row of the files that preparing writes, with evaluation sentences held out of train."""
+    rows = stored(_prepared(s, d).select("pos", "split", "audio", "record", "key"), "prepared")
+    return leakage.training_files(rows, True).select("file", "pos", "audio", "record")
 
 
 def sentence_keys(s, d):
@@ -198,11 +218,9 @@ def split_counters(s, d):
 
     Rewritten and written are before holding out; a missing recording takes no row away.
     """
-    marks = T(s, d, "speaker_split").groupBy("speaker").agg(F.min("split").alias("split"))
     recorded = T(s, d, "train").select(F.col("audio").alias("own")).where("own IS NOT NULL").distinct().withColumn("recorded", F.lit(True))
-    own = F.concat(F.lit("/corpora/"), "source", F.lit("/data/"), F.substring("utterance", 1, 2), F.lit("/"), "utterance", F.lit(".flac"))
     new = _written(s, d).select("pos", (F.col("cleaned") != F.col("written")).alias("rewritten"), X.sentence_key(F.col("written")).alias("key"))
-    rows = _utterances(s, d).withColumn("own", own).join(marks, "speaker", "left").join(recorded, "own", "left").join(new, "pos", "left")
+    rows = _audio(_utterances(s, d)).withColumnRenamed("audio", "own").join(_split(s, d), "speaker", "left").join(recorded, "own", "left").join(new, "pos", "left")
     rows = stored(rows.select(F.coalesce("split", F.lit("none")).alias("split"), F.coalesce("rewritten", F.lit(False)).alias("rewritten"), "key", F.col("recorded").isNull().alias("missing")), "counted")
     evaluated = rows.where("split NOT IN ('none', 'train')").select("key").distinct().withColumn("evaluated", F.lit(True))
     empty, held = F.col("key").isNull(), (F.col("split") == "train") & F.col("evaluated")
@@ -221,10 +239,8 @@ def clean_text(s, d):
 
 
 def record_paths(s, d):
-    """The record that a training file has for each utterance with text."""
-    rows = _utterances(s, d).where("text IS NOT NULL AND source IS NOT NULL")
-    path = F.concat(F.lit("/corpora/"), "source", F.lit("/data/"), F.substring("utterance", 1, 2), F.lit("/"), "utterance", F.lit(".flac"))
-    return rows.select("pos", path.alias("audio"), F.concat(F.lit("language Sinhala" + X.MARKER), "text").alias("record"))
+    """The record that a training file has for each utterance that is written: its text clean, loanwords in English."""
+    return _audio(_written(s, d)).where("source IS NOT NULL").select("pos", "audio", F.concat(F.lit("language Sinhala" + X.MARKER), "written").alias("record"))
 
 
 def replay_paths(s, d):
@@ -237,7 +253,7 @@ def replay_paths(s, d):
 
 def audio_present(s, d):
     """Utterances whose recording is in training, per source."""
-    own = F.concat(F.lit("/corpora/"), "source", F.lit("/data/"), F.substring("utterance", 1, 2), F.lit("/"), "utterance", F.lit(".flac"))
+    own = X.audio_path(F.concat(F.lit("/corpora/"), "source"), F.col("utterance"))
     return readers.present(_utterances(s, d), own, T(s, d, "train").select(F.col("audio").alias("path"))).groupBy("source").agg(F.count("*").alias("rows"))
 
 
@@ -271,6 +287,17 @@ def stale_tallies(s, d):
     return T(s, d, "error_tally").select("run", "source", "truncated").distinct().join(own, ["run", "source"]).where(~F.col("truncated").eqNullSafe(F.col("counted")))
 
 
+def error_sentences(s, d):
+    """Each run's evaluation in a sentence."""
+    return scoring.report_sentences(scoring.tally(_pairs(s, d), "run"), "run")
+
+
+def evaluation_records(s, d):
+    """What the evaluation files of the fleurs languages hold, the labels standing for transcripts."""
+    rows = T(s, d, "replay").where("label IS NOT NULL").select("source", "file", F.col("label").alias("transcript")).distinct()
+    return scoring.evaluation_records(rows, "test", "/corpora")
+
+
 def language_report(s, d):
     rows = T(s, d, "transcript").select("run", "audio", "expected_language", "language", "seconds", "milliseconds").distinct()
     return scoring.language_report(rows, "run")
@@ -355,6 +382,21 @@ def prompt_targets(s, d):
     return rows.select("doc_id", F.explode(B.targets(F.col("ids"), F.col("prompt"))).alias("t")).select("doc_id", "t.place", "t.id")
 
 
+def token_lengths(s, d):
+    """Ids of each document by a tokeniser given as a function: bytes, above three ids that mean something else."""
+    encode = B.tokeniser(lambda texts: [[b + 3 for b in t.encode()] for t in texts])
+    rows = T(s, d, "documents").where("text IS NOT NULL").select("doc_id", encode(F.col("text")).alias("ids"))
+    return rows.select("doc_id", F.size("ids").alias("tokens"), F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("sum"))
+
+
+def audio_places(s, d):
+    """Where placeholders of audio lie in assembled prompts."""
+    n = B.audio_tokens(F.col("n_chars"))
+    ids = B.prompt(F.array(F.lit(1), F.lit(2)), 50, n, F.array(F.lit(3), F.lit(4)), F.array(F.lit(7)), 9)
+    places = B.audio_places(ids, 50)
+    return T(s, d, "documents").where("n_chars > 0").select("doc_id", places.alias("p")).select("doc_id", F.size("p").alias("n"), F.array_min("p").alias("first"), F.array_max("p").alias("last"))
+
+
 def audio_tokens(s, d):
     frames = F.floor(F.col("seconds") * 100).cast("int")
     return T(s, d, "transcript").where("seconds > 0").select("run", "audio", frames.alias("frames")).distinct().select("run", "audio", B.audio_tokens(F.col("frames")).alias("tokens"), B.convolved(F.col("frames")).cast("long").alias("convolved"))
@@ -436,9 +478,11 @@ def data_quality(s, d):
 
 
 def incremental_unlabelled(s, d):
-    """Evaluation recordings that a run has no transcript of, of every run."""
-    runs = T(s, d, "transcript").select(F.col("audio").alias("file"), "run")
-    return labelling.unlabelled(runs, runs, "run").select("run", "file")
+    """Evaluation recordings that not every run has a transcript of: the runs that have one, and how many have none.
+
+    A row for each recording: which runs lack it follows from those that have it, and rows don't multiply with the runs.
+    """
+    return labelling.unlabelled_by(T(s, d, "transcript").select(F.col("audio").alias("file"), "run"), "run")
 
 
 def supported_languages(s, d):
@@ -460,28 +504,37 @@ def manifest_wanted(s, d):
 
 
 def reference_mismatch(s, d):
-    """Replay files without a record in training, and those of training that aren't in replay, per source."""
-    labels = T(s, d, "replay").where("source IS NOT NULL").select("source", "file")
-    records = T(s, d, "train").where("source IS NOT NULL").select("source", F.element_at(F.split("audio", "/"), -1).alias("file")).join(labels.select("source").distinct(), "source", "left_semi")
-    keys = ["source", "file"]
-    one = labels.distinct().join(records, keys, "left_anti").select("source", F.lit("no record").alias("problem"))
-    other = records.distinct().join(labels, keys, "left_anti").select("source", F.lit("no label").alias("problem"))
-    return one.union(other).groupBy("source", "problem").agg(F.count("*").alias("files"))
+    """Replay labels without a record in training, and records of fleurs sources without a label."""
+    records = T(s, d, "train").select("source", F.element_at(F.split("audio", "/"), -1).alias("file"))
+    return scoring.mismatches(T(s, d, "replay"), records)
+
+
+def needed_corpora(s, d):
+    """Corpora that replay's sources need besides the one that is given."""
+    chosen = [r[0] for r in T(s, d, "replay").join(F.broadcast(scoring.sources(s)), "source").select("source").distinct().collect()]  # six at most
+    return manifest.needed(scoring.sources(s), chosen, ["fleurs"])
+
+
+def sample_layout(s, d):
+    """Where the drawn files are to lie, shard by shard, and the recording in training each stands for."""
+    records = T(s, d, "train").where("source = 'librispeech' AND audio IS NOT NULL").select(F.element_at(F.split("audio", "/"), -1).alias("file"), F.col("audio").alias("target"))
+    return manifest.layout(sample_sharded(s, d), records.groupBy("file").agg(F.min("target").alias("target")), "/out", 4)
 
 
 def tolerance_gates(s, d):
-    """Checks of each run against the tallies of the evaluation: equal counts, and errors within a hundredth."""
-    own = scoring.tally(_pairs(s, d), "run", "source").groupBy("run").agg(F.sum("utterances").alias("utterances"), F.sum("character_errors").alias("errors"))
-    theirs = T(s, d, "error_tally").distinct().groupBy("run").agg(F.sum("utterances").alias("counted"), F.sum("character_errors").alias("summed"))
-    close = F.abs(F.col("errors") - F.col("summed")) <= 0.01 * F.greatest("errors", "summed", F.lit(1))
-    return own.join(theirs, "run").select("run", (F.col("utterances") == F.col("counted")).alias("same_count"), close.alias("close"))
+    """Gates of each run: counts equal to the evaluation's tallies and errors within a hundredth, agreement of words, and what is right and wrong by characters in the places of cosine and loss."""
+    own = scoring.tally(_pairs(s, d), "run").select("run", F.col("utterances").alias("counted"), F.col("character_errors").alias("value"), "characters")
+    theirs = T(s, d, "error_tally").distinct().groupBy("run").agg(F.sum("utterances").alias("expected"), F.sum("character_errors").alias("wanted"))
+    agreed = sequence_agreement(s, d).groupBy("run").agg(F.avg("share").alias("agreement"))
+    wrong = F.col("value") / F.greatest("characters", F.lit(1))
+    measured = own.join(theirs, "run").join(agreed, "run").withColumn("loss", wrong).withColumn("cosine", 1 - wrong)
+    return tensors.gates(measured, 0.01, 0.97, 0.98, 0.05).select("run", "same_count", "close", "agrees", "similar", "learnt")
 
 
 def table_invariants(s, d):
-    """Rows of classified words that break the table's invariants, by invariant."""
-    rows = readers.loanwords(T(s, d, "loanword_lines").select("path", F.col("line_no").alias("pos"), "line")).where("problem IS NULL")
-    rules = [("word of other letters", ~F.col("word").rlike(r"^[\x{0D80}-\x{0DFF}\x{200D}]+$")), ("english begins otherwise", ~F.col("english").rlike("^[A-Za-z]")), ("suffix of other letters", ~F.col("suffix").rlike(r"^[\x{0D80}-\x{0DFF}\x{200D}]*$"))]
-    return checks.problems(rows, rules, "path", "pos").groupBy("reason").agg(F.count("*").alias("rows"))
+    """Lines of classified words, as they stand, that break the table's invariants, with the first they break."""
+    lines = T(s, d, "loanword_lines").select("path", F.col("line_no").alias("pos"), "line")
+    return V.broken_invariants(lines)
 
 
 def first_records(s, d):
@@ -491,7 +544,8 @@ def first_records(s, d):
 
 def language_lists(s, d):
     """Configurations with a language added to their list, once."""
-    rows = T(s, d, "transcript").where("language IS NOT NULL").groupBy("run").agg(F.to_json(F.struct(F.array_sort(F.collect_set("language")).alias("support_languages"))).alias("config"))
+    listed = F.array_sort(F.collect_set("language")).alias("support_languages")
+    rows = T(s, d, "transcript").where("language IS NOT NULL").groupBy("run").agg(F.to_json(F.struct(F.lit("asr").alias("model_type"), listed, F.lit(2).alias("layers"))).alias("config"))
     return rows.select("run", X.with_language(F.col("config"), "Sinhala").alias("config"))
 
 
@@ -501,6 +555,11 @@ def epoch_order(s, d):
     return s.createDataFrame(list(enumerate(speakers.epoch_order(n, SEED, 1))), "place long, record long")
 
 
+def epoch_order_hash(s, d):
+    """The order of training records in the second epoch by a hash, for any number of records."""
+    return speakers.hashed_order(T(s, d, "train").select("pos"), "pos", SEED, 1)
+
+
 def epoch_sample(s, d):
     """A seeded sample of training records: the first of the first epoch's order."""
     n = T(s, d, "train").count()
@@ -521,6 +580,12 @@ def tensor_blend(s, d):
     return _vectors(s, d).select("vec_id", F.posexplode(v).alias("at", "x")).select("vec_id", "at", F.round(F.col("x").cast("double"), 4).alias("x"))
 
 
+def tensor_blend_shares(s, d):
+    """Each key blended by its own share."""
+    v = tensors.blend(F.col("embedding"), F.col("other"), F.pmod("vec_id", F.lit(5)) / 4)
+    return _vectors(s, d).select("vec_id", F.posexplode(v).alias("at", "x")).select("vec_id", "at", F.round(F.col("x").cast("double"), 4).alias("x"))
+
+
 def tensor_norm(s, d):
     norm = tensors.global_norm(T(s, d, "embeddings"), "embedding")
     return norm.select(F.round("norm", 6).alias("norm"), F.round(tensors.clip_scale(F.col("norm"), 1.0), 9).alias("scale"))
@@ -536,16 +601,24 @@ def tensor_sums(s, d):
 
 
 def tensor_quantise(s, d):
-    rows = tensors.quantised(T(s, d, "embeddings"), "vec_id", "embedding", 32, 8)
-    return rows.select("vec_id", "part", F.round(F.col("scale").cast("double"), 7).alias("scale"), F.round(F.col("bias").cast("double"), 6).alias("bias"), F.size("packed").alias("words"))
+    return _packed(s, d, "float32")
+
+
+def tensor_quantise_half(s, d):
+    """As tensor_quantise, the grid's start and step in 16 bits."""
+    return _packed(s, d, "bfloat16")
+
+
+def _packed(s, d, dtype):
+    rows = tensors.quantised(T(s, d, "embeddings"), "vec_id", "embedding", 32, 8, dtype)
+    return rows.select("vec_id", "part", F.round(F.col("scale").cast("double"), 7).alias("scale"), F.round(F.col("bias").cast("double"), 6).alias("bias"), F.array_join(F.transform("packed", lambda x: x.cast("string")), ",").alias("words"))
 
 
 def tensor_dequantise(s, d):
-    """Vectors whose values all come back to within half a step."""
-    rows = tensors.quantised(T(s, d, "embeddings"), "vec_id", "embedding", 32, 8).withColumn("back", tensors.dequantised(F.col("levels"), F.col("scale"), F.col("bias")))
-    joined = rows.join(T(s, d, "embeddings").select("vec_id", "embedding"), "vec_id").withColumn("own", F.slice("embedding", F.col("part") * 32 + 1, F.lit(32)))
-    off = F.array_max(F.zip_with("back", "own", lambda x, y: F.abs(x - y)))
-    return joined.groupBy("vec_id").agg(F.max(off <= F.abs("scale") * 0.5001 + 1e-6).alias("close"))
+    """The values that come back from the quantised ones."""
+    rows = tensors.quantised(T(s, d, "embeddings"), "vec_id", "embedding", 32, 8)
+    back = rows.select("vec_id", "part", F.posexplode(tensors.dequantised(F.col("levels"), F.col("scale"), F.col("bias"))).alias("at", "x"))
+    return back.select("vec_id", (F.col("part") * 32 + F.col("at")).alias("at"), F.round(F.col("x").cast("double"), 5).alias("x"))
 
 
 def adam_update(s, d):
@@ -554,10 +627,10 @@ def adam_update(s, d):
 
 
 def rounded_half_width(s, d):
-    """Values within their neighbours of half the width, and counts of those exact."""
-    x = T(s, d, "embeddings").select("vec_id", F.explode("embedding").alias("x"))
-    both = x.select("vec_id", "x", tensors.bf16_down(F.col("x")).alias("lo"), tensors.bf16_up(F.col("x")).alias("hi"))
-    return both.groupBy("vec_id").agg(F.min((F.col("lo") <= F.col("x")) & (F.col("x") <= F.col("hi"))).alias("within"), F.count_if(F.col("lo") == F.col("hi")).alias("exact"))
+    """Each value's neighbours among floats of 16 bits, of both kinds."""
+    x = T(s, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("at", "x"))
+    near = {f"{name}_{end}": tensors.rounded(dtype, up)(F.col("x")).cast("double") for dtype, name in (("bfloat16", "bf"), ("float16", "fp")) for end, up in (("down", False), ("up", True))}
+    return x.select("vec_id", "at", *(c.alias(n) for n, c in near.items()))
 
 
 def sequence_agreement(s, d):
@@ -583,6 +656,21 @@ def export_totals(s, d):
     return manifest.export_totals(T(s, d, "embeddings").select("vec_id", F.col("embedding").alias("v")), 2)
 
 
+def _named_weights(s, d):
+    head = F.when(F.col("vec_id") % 3 == 0, "audio_tower.").otherwise("model.")
+    tail = F.when(F.col("vec_id") % 4 == 0, ".scales").when(F.col("vec_id") % 4 == 1, ".biases").otherwise(".weight")
+    return T(s, d, "embeddings").select(F.concat(head, F.lit("layers."), F.col("vec_id").cast("string"), tail).alias("key"), F.col("embedding").alias("v"))
+
+
+def weight_selection(s, d):
+    """Weights of one part of the model, without what belongs to their quantisation."""
+    return manifest.selected_weights(_named_weights(s, d), "audio_tower.", (".scales", ".biases")).select("key", F.size("v").alias("n"))
+
+
+def weight_files(s, d):
+    return manifest.weight_files(_named_weights(s, d), 2, "model.safetensors")
+
+
 def weight_keys(s, d):
     """Two sets of arrays compared by key and size."""
     a = T(s, d, "embeddings").select(F.col("vec_id").alias("key"), F.col("embedding").alias("v"))
@@ -613,11 +701,11 @@ def p5_loanwords(s, d):
 
 _ALL = (
     utterance_scan, speaker_split_scan, loanword_scan, replay_scan, record_parse, multi_file_union, recording_listing, vocabulary, vocab_chunks, vocabulary_coverage, loanword_problems, loanword_merge, loanword_shares, word_rewrite, rewrite_counts,
-    speaker_counts, speaker_split_hash, speaker_split_sizes, speaker_split_mt, split_last_wins, sample_sharded, sample_speakers, sentence_keys, new_sentences, hold_out, new_after_hold_out, split_counters, missing_speakers, clean_text, record_paths, replay_paths, audio_present,
-    label_errors, word_errors, error_tally, error_rates, stale_tallies, language_report, languages, replay_summary, replay_summary_lines, replay_cut, gloss_free, flat_hypotheses, shared_words,
-    epoch_steps, token_budget_pack, step_totals, pad_layout, prompt_targets, audio_tokens, clip_features, chunk_windows, window_cells, audio_offsets, lr_schedule, eval_steps, checkpoint_retention,
-    settings_diff, manifest_verify, file_digests, ordered_digest, duplicate_labels, data_quality, incremental_unlabelled, supported_languages, safe_members, manifest_wanted, reference_mismatch, tolerance_gates, table_invariants, first_records, language_lists, epoch_order, epoch_sample,
-    tensor_blend, tensor_norm, tensor_cosine, tensor_sums, tensor_quantise, tensor_dequantise, adam_update, rounded_half_width, sequence_agreement, loss_parts, bench_totals, export_totals, weight_keys,
+    speaker_counts, speaker_split_hash, speaker_split_sizes, speaker_split_mt, split_last_wins, sample_sharded, sample_speakers, sentence_keys, training_files, new_sentences, hold_out, new_after_hold_out, split_counters, missing_speakers, clean_text, record_paths, replay_paths, audio_present,
+    label_errors, word_errors, error_tally, error_rates, stale_tallies, error_sentences, evaluation_records, language_report, languages, replay_summary, replay_summary_lines, replay_cut, gloss_free, flat_hypotheses, shared_words,
+    epoch_steps, token_budget_pack, step_totals, pad_layout, prompt_targets, token_lengths, audio_places, audio_tokens, clip_features, chunk_windows, window_cells, audio_offsets, lr_schedule, eval_steps, checkpoint_retention,
+    settings_diff, manifest_verify, file_digests, ordered_digest, duplicate_labels, data_quality, incremental_unlabelled, supported_languages, safe_members, manifest_wanted, needed_corpora, sample_layout, reference_mismatch, tolerance_gates, table_invariants, first_records, language_lists, epoch_order, epoch_order_hash, epoch_sample,
+    tensor_blend, tensor_blend_shares, tensor_norm, tensor_cosine, tensor_sums, tensor_quantise, tensor_quantise_half, tensor_dequantise, adam_update, rounded_half_width, sequence_agreement, loss_parts, bench_totals, export_totals, weight_selection, weight_files, weight_keys,
     p5_found, p5_labels, p5_loanwords,
 )
 

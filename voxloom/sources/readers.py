@@ -6,7 +6,7 @@ skipped. Text files have no quoting here; files of quoted fields are read by ope
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxloom.functions import text as X
@@ -76,19 +76,30 @@ def replay(rows: DataFrame) -> DataFrame:
 
 def label_file(spark: SparkSession, *paths: str) -> DataFrame:
     """file, seconds, ms, text of labels files, sharded or not. A wrong header, a last line cut off, wrong columns, a number that is none and a file labelled twice, in any shard, are problems."""
-    whole = spark.read.text(list(paths), wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("v"))
-    each = whole.withColumn("l", F.split("v", "\n"))
-    rows = each.select("path", (~F.col("v").endswith("\n")).alias("cut"), F.size("l").alias("k"), F.posexplode("l").alias("pos", "line"))
-    rows = rows.where((F.col("line") != "") | ((F.col("pos") == 0)))
-    found = rows.withColumn("f", F.split("line", "\t")).select("path", "pos", "line", "cut", "k", *(F.get("f", F.lit(i)).alias(c) for i, c in enumerate(("file", "seconds", "ms", "text"))), F.size("f").alias("n"))
+    meta = F.col("_metadata")
+    read = spark.read.option("lineSep", "\n").text(list(paths)).select(meta.file_path.alias("path"), meta.file_size.alias("bytes"), F.struct(meta.file_block_start, F.monotonically_increasing_id()).alias("turn"), F.col("value").alias("line"))
+    # a file whose lines and their breaks are more than it holds ends without a break
+    ends = read.groupBy("path").agg(F.max("turn").alias("turn"), (F.sum(F.octet_length("line") + 1) > F.max("bytes")).alias("cut"))
+    ordered = read.withColumn("pos", F.row_number().over(Window.partitionBy("path").orderBy("turn")) - 1)
+    rows = ordered.join(ends, ["path", "turn"], "left").where((F.col("line") != "") | (F.col("pos") == 0))
+    found = rows.withColumn("f", F.split("line", "\t")).select("path", "pos", "line", F.coalesce("cut", F.lit(False)).alias("cut"), *(F.get("f", F.lit(i)).alias(c) for i, c in enumerate(("file", "seconds", "ms", "text"))), F.size("f").alias("n"))
     number = lambda c: F.expr(f"try_cast({c} AS DOUBLE)")
     times = found.where("pos > 0").groupBy("file").agg(F.count("*").alias("times"))
     joined = found.join(times, "file", "left")
-    problem = F.when((F.col("pos") == 0) & (F.col("line") != "file\tseconds\tms\ttext"), "header").when((F.col("pos") > 0) & F.col("cut") & (F.col("pos") == F.col("k") - 1), "cut off")
-    problem = problem.when((F.col("pos") > 0) & (F.col("n") != 4), "expected 4 columns").when((F.col("pos") > 0) & number("seconds").isNull(), "not a number").when((F.col("pos") > 0) & (F.col("times") > 1), "labelled twice")
+    later = F.col("pos") > 0
+    problem = F.when((F.col("pos") == 0) & (F.col("line") != "file\tseconds\tms\ttext"), "header").when(later & F.col("cut"), "cut off")
+    problem = problem.when(later & (F.col("n") != 4), "expected 4 columns").when(later & number("seconds").isNull(), "not a number").when(later & (F.col("times") > 1), "labelled twice")
     return joined.select("path", "pos", "file", number("seconds").alias("seconds"), number("ms").alias("ms"), "text", problem.alias("problem")).where("pos > 0 OR problem IS NOT NULL")
 
 
+def shards(spark: SparkSession, folder: str, source: str) -> list[str]:
+    """The paths of a source's labels files: the files of its folder if there is one, else its one file."""
+    base = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{source}")
+    if base.getFileSystem(spark._jsc.hadoopConfiguration()).exists(base):
+        return [f"{folder}/{source}/*.tsv"]
+    return [f"{folder}/{source}.tsv"]
+
+
 def records(spark: SparkSession, *paths: str) -> DataFrame:
     """audio, text of JSON lines; several files, the same file twice included, are a bag union. Malformed lines, empty audio and a missing marker are problems."""
     parts = [spark.read.schema("audio string, text string, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(p) for p in paths]

@@ -30,12 +30,18 @@ def label_new(spark: SparkSession, inbox: str, schema: str, labels: str, checkpo
     query.awaitTermination()
 
 
-def unlabelled(recordings: DataFrame, labels: DataFrame, *by: str) -> DataFrame:
-    """Recordings (file) without a label; of each set of labels that by names, if it is given."""
-    wanted = recordings.select("file").distinct()
-    if by:
-        wanted = wanted.crossJoin(labels.select(*by).distinct())
-    return wanted.join(labels.select("file", *by), ["file", *by], "left_anti")
+def unlabelled(recordings: DataFrame, labels: DataFrame) -> DataFrame:
+    """Recordings (file) without a label (file)."""
+    return recordings.select("file").distinct().join(labels.select("file"), "file", "left_anti")
+
+
+def unlabelled_by(labels: DataFrame, by: str) -> DataFrame:
+    """file, labelled, missing of the recordings that some set of labels (named by the column by) lacks: the names of the sets that
+    have it, sorted, and how many lack it."""
+    known = labels.where(F.col("file").isNotNull() & F.col(by).isNotNull()).groupBy("file").agg(F.array_sort(F.collect_set(by)).alias("sets"))
+    whole = labels.agg(F.count_distinct(by).alias("all"))
+    counted = known.join(F.broadcast(whole)).withColumn("missing", F.col("all") - F.size("sets"))  # one row is broadcast
+    return counted.where("missing > 0").select("file", F.array_join("sets", ",").alias("labelled"), "missing")
 
 
 def resumed(contents: DataFrame) -> DataFrame:
