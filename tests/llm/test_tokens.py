@@ -50,17 +50,56 @@ def test_best_fit(items):
     for size, b in zip(sizes, found, strict=True):
         room[b] = room.get(b, 0) + size
     assert all(x <= 50 for x in room.values()) and sorted(room) == list(range(len(room)))
-    plain = packing._fit(sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)), sizes, sources, [-1] * len(sizes), 50, False)
-    assert len(room) <= max(len(set(plain)) + 1, 1.12 * len(set(plain)) + 1)
+    fewest = -(-sum(sizes) // 50)
+    for c in {x for x in clusters if x >= 0}:
+        most = -(-clusters.count(c) // max(fewest, 1))
+        own = [b for b, x in zip(found, clusters, strict=True) if x == c]
+        assert all(own.count(b) <= most for b in own)
 
 
-def test_copies_are_kept_apart_where_it_costs_nothing():
+def test_duplicates_and_sources_are_kept_apart():
     found = packing.best_fit([25, 25, 25, 25], [0, 0, 1, 1], [0, 0, 1, 1], 50)
     assert found[0] != found[1] and found[2] != found[3] and len(set(found)) == 2
+    # the tightest container is passed over for one without the source, however many there are
+    sizes, sources = [90] * 600 + [80] + [10], [0] * 600 + [1, 0]
+    assert packing.best_fit(sizes, sources, [-1] * 602, 100)[-1] == 600
+    # duplicates never meet, though a container of their own is needed
+    apart = packing.best_fit([50, 30, 30, 100], [0, 1, 2, 3], [-1, 4, 4, -1], 110)
+    assert apart[1] != apart[2] and len(set(apart)) == 3
+    # more duplicates than containers are needed spread evenly
+    spread = packing.best_fit([10] * 60, [0] * 60, [0] * 60, 100)
+    assert sorted(spread.count(b) for b in set(spread)) == [10] * 6
+    assert packing.best_fit([], [], [], 10) == []
+
+
+def test_hot_cluster_and_source_in_a_block():
+    rng = random.Random(4)
+    sizes = [rng.randint(1, 900) for _ in range(4000)]
+    clusters = [0 if i % 3 == 0 else -1 for i in range(4000)]
+    found = packing.best_fit([120 if c == 0 else n for n, c in zip(sizes, clusters, strict=True)], [0 if rng.random() < 0.4 else rng.randint(1, 200) for _ in sizes], clusters, 4096)
+    total = sum(120 if c == 0 else n for n, c in zip(sizes, clusters, strict=True))
+    assert len(set(found)) <= -(-total // 4096) + 1
+
+
+def test_levels_of_words(spark, monkeypatch):
+    monkeypatch.setattr(tokens, "GROUP", 3)
+    pairs = spark.createDataFrame([(b, w) for b in range(20) for w in ("a", " the", f"w{b}")], "block long, word string")
+    got = {(r.block, r.word): list(memoryview(r.ids).cast("i")) for r in tokens.encoded_words(pairs, 20).collect()}
+    assert got == {(b, w): ENCODER.encode_ordinary(w) for b in range(20) for w in ("a", " the", f"w{b}")}
+
+
+def test_pack_documents(spark):
+    rows = [(1, "Some words, here", "s"), (1, "Some words, here", "s"), (2, "some WORDS here!", "t"), (3, None, "s"), (None, "other text", None), (4, "", None)]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, source string, tokens string")
+    got = packing.pack_documents(df, 6).collect()
+    got = [r for r in got if r.piece == 0]
+    assert len(got) == 5 and {r.doc_id: r.container >= 0 for r in got} == {1: True, 2: True, 3: False, 4: False, None: True}
+    own = {r.doc_id: r.container for r in got}
+    assert own[1] != own[2]
 
 
 def test_pack(spark):
-    rows = [(i, n, "s", i % 7) for i, n in enumerate([0, 100, 250, 40, 60, 30, 70, 10] + [5] * 500)]
+    rows = [(i, n, "s", i) for i, n in enumerate([0, 100, 250, 40, 60, 30, 70, 10] + [5] * 500)]
     df = spark.createDataFrame(rows, "doc_id long, tokens long, source string, cluster long")
     got = packing.pack(df, 100).collect()
     own = {}

@@ -174,11 +174,11 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_fill(spark: SparkSession, d: str) -> DataFrame:
-    """Containers, documents' pieces, tokens and the share of all room that is used."""
+    """Containers, pieces, tokens, the share of all room that is used, and the fewest containers that could hold the tokens: what keeping duplicates apart costs is the difference."""
     capacity = _capacity(spark, d)
     full = p9_containers(spark, d).where("container >= 0").groupBy("block", "container").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("pieces"))
     whole = full.agg(F.count("*").alias("containers"), F.sum("pieces").alias("pieces"), F.sum("tokens").alias("tokens"))
-    return whole.withColumn("used", F.col("tokens") / (F.col("containers") * capacity))
+    return whole.withColumn("used", F.col("tokens") / (F.col("containers") * capacity)).withColumn("fewest", F.ceil(F.col("tokens") / capacity))
 
 
 # 10: abusive, hateful or sexual content

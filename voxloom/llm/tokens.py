@@ -26,6 +26,8 @@ NAME = "byte_bpe_50k"
 #: Bytes of text in a block of documents, which one task holds at a time with its words and ids.
 BLOCK_BYTES = 2 << 20
 BLOCKS_A_TASK = 2
+#: Blocks, or groups of them, that share one row of each word at the level above.
+GROUP = 1000
 
 # White space as the tokenizer's pattern has it (Unicode's property).
 _WHITE = "".join(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
@@ -99,19 +101,24 @@ def _distinct_by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 def _encode_words(folder: str, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(folder, name)
-        ids: dict[str, bytes] = {}  # a word is in one partition only, so each is encoded once
         for batch in batches:
-            coded = batch.column(1).dictionary_encode()
-            for w in coded.dictionary.to_pylist():
-                if w not in ids:
-                    ids[w] = np.array(own.encode_ordinary(w), "<i4").tobytes()
-            pieces = pa.array([ids[w] for w in coded.dictionary.to_pylist()], pa.binary()).take(coded.indices)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pieces], ["block", "word", "ids"])
+            pieces = [np.array(x, "<i4").tobytes() for x in own.encode_ordinary_batch(batch.column(0).to_pylist(), num_threads=1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pieces, pa.binary())], ["word", "ids"])
 
     return run
 
 
-def _join_back(counts_only: bool):
+def words_hashes(texts: pa.Array) -> pa.Array:
+    """A number for each text's words, case, punctuation and spacing apart; that of no words for texts without any."""
+    import xxhash
+
+    bare = pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts, "")), r"[^\pL\pM\pN]+", " ")
+    return pa.array([xxhash.xxh3_64_intdigest(t) >> 1 for t in pc.utf8_trim(bare, " ").to_pylist()], pa.int64())
+
+
+def _join_back(counts_only: bool, carried: str | None):
+    own_columns = ["doc_id", "text"] + ([carried] if carried else [])
+
     def run(documents: pa.Table, words: pa.Table) -> pa.Table:
         table_words = words.column("word").combine_chunks()
         pieces = words.column("ids").combine_chunks()
@@ -119,7 +126,7 @@ def _join_back(counts_only: bool):
             pieces = pa.concat_arrays(pieces.chunks)
         docs = documents.combine_chunks()
         if len(docs.column("doc_id").unique()) < docs.num_rows:  # repeated rows
-            docs = docs.group_by(["doc_id", "text"]).aggregate([])
+            docs = docs.group_by(own_columns).aggregate([]).combine_chunks()
         texts = docs.column("text").combine_chunks() if docs.num_rows else pa.array([], pa.string())
         own, index, counts = cut_batch(texts)
         at = pc.index_in(own, value_set=table_words).to_numpy(zero_copy_only=False)
@@ -129,7 +136,8 @@ def _join_back(counts_only: bool):
         length = sizes[where] if len(where) else np.zeros(0, np.int64)
         ends = np.concatenate([[0], np.cumsum(length)])[np.concatenate([[0], np.cumsum(counts)])]
         if counts_only:
-            return pa.table({"doc_id": docs.column("doc_id"), "tokens": pa.array(np.diff(ends), pa.int64())})
+            found = {"doc_id": docs.column("doc_id"), "tokens": pa.array(np.diff(ends), pa.int64())}
+            return pa.table(found | {carried: docs.column(carried), "words": words_hashes(texts)} if carried else found)
         if len(where):
             values = np.frombuffer(pieces.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view("<i4")
             starts = (offsets[:-1] - offsets[0]) // 4
@@ -144,46 +152,57 @@ def _join_back(counts_only: bool):
     return run
 
 
-def _blocks(documents: DataFrame) -> DataFrame:
-    """block, doc_id, text of the distinct rows, blocks together."""
+def _blocks(documents: DataFrame, carried: str | None = None) -> tuple[DataFrame, int]:
+    """block, doc_id, text (and a column that is carried) of the rows, blocks together; and how many blocks."""
     n_bytes = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, math.ceil(n_bytes / BLOCK_BYTES))
-    rows = documents.select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).alias("block"), "doc_id", "text")
+    rows = documents.select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).alias("block"), "doc_id", "text", *([carried] if carried else []))
     # a task gets a few blocks, whatever the data's size; small data still spread over the cluster
     parts = max(n // BLOCKS_A_TASK, min(n, 2 * documents.sparkSession.sparkContext.defaultParallelism))
-    return rows.repartition(parts, "block")
+    return rows.repartition(parts, "block"), n
+
 
+def encoded_words(pairs: DataFrame, blocks: int, folder: str = FOLDER, name: str = NAME) -> DataFrame:
+    """block, word, ids of pairs (block, word): each distinct word is encoded once, its ids are joined back.
 
-def distinct_words(documents: DataFrame, folder: str = FOLDER, name: str = NAME) -> DataFrame:
-    """block, word, ids: each block's distinct words with their ids. A word's rows are all in one partition, where it is encoded once."""
-    pairs = _blocks(documents).mapInArrow(_distinct_by_block, "block long, word string")
-    return pairs.repartition("word").mapInArrow(_encode_words(folder, name), "block long, word string, ids binary")
+    A frequent word is in every block. Blocks are therefore gathered in groups of GROUP, level by level: a word has one row for
+    each group at the next level, so that no task gets, and no join multiplies, more than GROUP rows of one word for each row
+    of the level above; and partitions grow with the blocks.
+    """
+    parts = max(2 * pairs.sparkSession.sparkContext.defaultParallelism, blocks // 64)
+    keys = F.floor(F.col("block") / GROUP).alias("group")
+    above = pairs.select(keys, "word").repartition(parts, "group", "word").distinct()
+    if blocks > GROUP:
+        coded = encoded_words(above.select(F.col("group").alias("block"), "word"), math.ceil(blocks / GROUP), folder, name).withColumnRenamed("block", "group")
+    else:
+        coded = above.select("word").mapInArrow(_encode_words(folder, name), "word string, ids binary").withColumn("group", F.lit(0).cast("long"))
+    return pairs.select("block", keys, "word").join(coded.hint("shuffle_hash"), ["group", "word"]).select("block", "word", "ids")
 
 
-def encode_corpus(documents: DataFrame, folder: str = FOLDER, name: str = NAME, counts_only: bool = False) -> DataFrame:
-    """doc_id and ids of every document, or doc_id and its number of tokens.
+def encode_corpus(documents: DataFrame, folder: str = FOLDER, name: str = NAME, counts_only: bool = False, carried: str | None = None) -> DataFrame:
+    """doc_id and ids of every document, or doc_id and its number of tokens, and then, with a column that is carried, it and a hash of the words.
 
-    documents: doc_id, text. Blocks of documents meet their words' ids; hot words travel once for each block, never once for
-    each occurrence, and no block holds more than about BLOCK_BYTES of text, or one document.
+    documents: doc_id, text. Blocks of documents meet their words' ids; no block holds more than about BLOCK_BYTES of text, or
+    one document.
     """
-    schema = "doc_id long, tokens long" if counts_only else "doc_id long, ids array<int>"
-    rows = _blocks(documents)
-    words = rows.mapInArrow(_distinct_by_block, "block long, word string").repartition("word")
-    words = words.mapInArrow(_encode_words(folder, name), "block long, word string, ids binary")
-    return rows.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_join_back(counts_only), schema)
+    rows, n = _blocks(documents, carried)
+    schema = ("doc_id long, tokens long" + (f", {carried} string, words long" if carried else "")) if counts_only else "doc_id long, ids array<int>"
+    pairs = rows.select("block", "doc_id", "text").mapInArrow(_distinct_by_block, "block long, word string")
+    words = encoded_words(pairs, n, folder, name)
+    return rows.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_join_back(counts_only, carried), schema)
 
 
 def word_table(documents: DataFrame, folder: str = FOLDER, name: str = NAME) -> DataFrame:
     """word, ids: the distinct words of the corpus, each encoded once."""
-    words = documents.select("text").mapInArrow(_words_only, "block long, word string").select("word").distinct()
-    coded = words.select(F.lit(0).cast("long").alias("block"), "word").mapInArrow(_encode_words(folder, name), "block long, word string, ids binary")
+    words = documents.select("text").mapInArrow(_words_only, "word string").distinct()
+    coded = words.mapInArrow(_encode_words(folder, name), "word string, ids binary")
     return coded.select("word", _as_list("ids").alias("ids"))
 
 
 def _words_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         words, _, _ = cut_batch(batch.column(0))
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(words), np.int64)), words], ["block", "word"])
+        yield pa.RecordBatch.from_arrays([words], ["word"])
 
 
 def _as_list(ids: str):
