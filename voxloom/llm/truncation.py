@@ -1,11 +1,14 @@
-"""Texts that lost their end at a field limit or when sending stopped, in SQL.
+"""Texts that lost their end at a field limit or when sending stopped, in pure SQL.
 
-Word trigrams are counted inside texts and at ends, over references and hypotheses. A hypothesis' final trigram is joined to
-the counts without its own row; one that (almost) never ends a text makes the row a candidate, and so does one that ends
-others but not the row's own reference (cuts between clauses). An exact check follows: where
-there is a reference, the end of the hypothesis is aligned with it and the row is a case if letters or digits of the
-reference are left over. Without one, shorter final grams that are frequent inside but almost never at ends decide, or a
-length at which several confirmed cases of the same run and source were cut, or a mark that cuts leave.
+Word trigrams are counted inside complete texts and at their ends. Complete are the references, and hypotheses without one
+(which, being few, hardly blur the ends). Each hypothesis' final trigram is joined to the counts, its own row's left out; rows
+whose final trigram (almost) never ends a text are the candidates, and no row comes from elsewhere. What is frequent inside
+decides for rows without a reference: the final trigram, or where that is rare the final two words or the last one, must be so
+frequent that it would have ended texts at least EXPECTED times, were it like other grams, and almost never did; or the text
+ends in a mark that cuts leave.
+
+Of candidates with a reference an exact check follows: the end of the hypothesis is laid along the whole reference, and the row
+is a case if letters or digits of the reference are left over. A cut that falls where other texts end isn't seen.
 
 Han characters are words of their own. Null, empty and wordless hypotheses are no cases, nor is a single whole word, an answer
 to silence. Missing end marks alone count for nothing, for only words are compared. Repeated rows count once.
@@ -16,95 +19,92 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.forms import visual_form_column
-
-#: Ends an n-gram may have for each hundred times inside, still "almost never at an end"; and how often inside is frequent.
-ALMOST_NEVER, FREQUENT = 2, 100
-#: Characters of the end that are aligned, and the share of them that may differ.
+#: Ends a gram may have for each hundred times inside, still "almost never"; and ends that it would have to be expected to have.
+ALMOST_NEVER, EXPECTED = 2, 5
+#: Characters of the end that are laid along the reference, and the share of them that may differ.
 TAIL, DIFFERENT = 24, 0.34
-#: Confirmed cases of one run and source that show a limit.
-LIMIT_CASES = 3
 
+# h and r: lower-case words with a space between, without invisible characters; g: the final words of h, up to three
 WORDS = r"""
-SELECT *, trim(regexp_replace(regexp_replace(lower(hyp_form), '([\\x{4E00}-\\x{9FFF}])', ' $1 '), '[^\\p{L}\\p{M}\\p{N}\\x{200D}]+', ' ')) AS h,
-          trim(regexp_replace(regexp_replace(lower(ref_form), '([\\x{4E00}-\\x{9FFF}])', ' $1 '), '[^\\p{L}\\p{M}\\p{N}\\x{200D}]+', ' ')) AS r
-FROM {t}
+WITH bare AS (
+  SELECT DISTINCT run, audio, hypothesis,
+    lower(regexp_replace(hypothesis, '{invisible}', '')) AS h, lower(regexp_replace(reference, '{invisible}', '')) AS r
+  FROM {t}),
+spaced AS (
+  SELECT run, audio, hypothesis,
+    trim(regexp_replace(regexp_replace(h, '([\\x{{4E00}}-\\x{{9FFF}}])', ' $1 '), '[^\\p{{L}}\\p{{M}}\\p{{N}}\\x{{200D}}]+', ' ')) AS h,
+    coalesce(trim(regexp_replace(regexp_replace(r, '([\\x{{4E00}}-\\x{{9FFF}}])', ' $1 '), '[^\\p{{L}}\\p{{M}}\\p{{N}}\\x{{200D}}]+', ' ')), '') AS r
+  FROM bare)
+SELECT *, xxhash64(slice(split(h, ' '), greatest(1, size(split(h, ' ')) - 2), 3)) AS g FROM spaced WHERE h <> '' OR r <> ''
 """
+# A fixed value: characters that don't show, but for the joiner that shapes letters.
+INVISIBLE = r"[\\x{00AD}\\x{200B}\\x{200C}\\x{200E}\\x{200F}\\x{202A}-\\x{202E}\\x{2060}-\\x{2064}\\x{FEFF}]"
 
-# n words at a time; a text of fewer is one gram. at_end: the gram is its text's last
+# a complete text's trigrams; a text of fewer words is one gram
 GRAMS = """
-WITH texts AS (SELECT split(h, ' ') AS w FROM {w} WHERE h <> '' UNION ALL SELECT split(r, ' ') AS w FROM {w} WHERE r <> ''),
+WITH texts AS (SELECT split(if(r <> '', r, h), ' ') AS w FROM {w}),
 grams AS (
   SELECT explode(transform(sequence(1, greatest(1, size(w) - {n} + 1)), i -> struct(xxhash64(slice(w, i, {n})) AS g, i > size(w) - {n} AS at_end))) AS x
   FROM texts)
-SELECT x.g AS g, count_if(NOT x.at_end) AS inside, count_if(x.at_end) AS ends FROM grams GROUP BY x.g
+SELECT x.g AS g, count_if(NOT x.at_end) AS inside, count_if(x.at_end) AS ends FROM grams {only} GROUP BY x.g
 """
 
+# how often a gram of so many words ends a text: the share of ends among all grams
+SHARE = "SELECT count(*) / sum(greatest(1, size(split(if(r <> '', r, h), ' ')) - {n} + 1)) AS share FROM {w}"
+
 FINAL = """
-WITH f AS (SELECT *, xxhash64(slice(split(h, ' '), greatest(1, size(split(h, ' ')) - 2), 3)) AS g FROM {w} WHERE h <> '')
-SELECT f.*, c.inside, c.ends - 1 AS ends FROM f JOIN {counts} c ON f.g = c.g
-WHERE (c.ends - 1) * 100 <= {almost_never} * (c.inside + c.ends - 1)
-   OR r <> '' AND slice(split(r, ' '), greatest(1, size(split(r, ' ')) - 2), 3) <> slice(split(h, ' '), greatest(1, size(split(h, ' ')) - 2), 3)
+WITH f AS (SELECT *, if(r = '', 1, 0) AS own FROM {w} WHERE h <> '')
+SELECT f.*, coalesce(c.inside, 0) AS inside, coalesce(c.ends, 0) - own AS ends FROM f LEFT JOIN {counts} c ON f.g = c.g
+WHERE (coalesce(c.ends, 0) - own) * 100 <= {almost_never} * (coalesce(c.inside, 0) + coalesce(c.ends, 0) - own)
 """
 
-ALIGNED = """
-WITH tails AS (
-  SELECT *, right(h, {tail}) AS tail, size(split(h, ' ')) AS n_words,
-    sequence(greatest(1, least(length(h) - 10, length(r))), least(length(r), cast(length(h) * 1.6 + 15 AS INT))) AS ks
-  FROM {candidates} WHERE r <> ''),
+ALIGNED = r"""
+WITH tails AS (SELECT *, right(h, {tail}) AS tail, size(split(h, ' ')) AS n_words, sequence(1, length(r)) AS ks FROM {candidates} WHERE r <> ''),
 near AS (
   SELECT *, array_min(transform(ks, k -> struct(levenshtein(tail, right(left(r, k), length(tail))) AS d, -k AS back))) AS best
-  FROM tails WHERE length(h) - 10 <= length(r))
-SELECT run, audio, source, hypothesis, n_words, best.d AS distance, -best.back AS upto, h, r,
-  best.d <= {different} * length(tail)
-    AND regexp_like(substr(r, 1 - best.back), '[\\\\p{{L}}\\\\p{{N}}]')
-    AND NOT (n_words = 1 AND (substr(r, 1 - best.back, 1) = ' ' OR regexp_like(hypothesis, '[.!?\\\\x{{3002}}\\\\x{{FF01}}\\\\x{{FF1F}}]$')))
-    AND NOT (slice(split(h, ' '), -least(2, n_words), 2) = slice(split(r, ' '), -least(2, n_words, size(split(r, ' '))), 2) AND length(h) >= 0.6 * length(r))
-    AND (length(h) > 12 OR h = left(r, length(h)) OR n_words > 1 AND best.d <= 1) AS cut
-FROM near
+  FROM tails)
+SELECT run, audio FROM near
+WHERE best.d <= {different} * length(tail)
+  AND regexp_like(substr(r, 1 - best.back), '[\\p{{L}}\\p{{N}}]')
+  AND NOT (n_words = 1 AND (substr(r, 1 - best.back, 1) = ' ' OR regexp_like(hypothesis, '[.!?\\x{{3002}}\\x{{FF01}}\\x{{FF1F}}]$')))
+  AND NOT (slice(split(h, ' '), -least(2, n_words), 2) = slice(split(r, ' '), -least(2, n_words, size(split(r, ' '))), 2) AND length(h) >= 0.6 * length(r))
+  AND (length(h) > 12 OR h = left(r, length(h)) OR n_words > 1 AND best.d <= 1)
 """
 
-# lengths at which confirmed cases were cut, in characters and in bytes (a character that didn't fit is missing, or replaced)
-LIMITS = """
-WITH confirmed AS (SELECT run, source, length(hypothesis) AS chars, octet_length(regexp_replace(hypothesis, '\\\\x{{FFFD}}', '')) AS bytes FROM {aligned} WHERE cut)
-SELECT run, source, 'chars' AS unit, chars AS size FROM confirmed GROUP BY run, source, chars HAVING count(*) >= {limit_cases}
-UNION ALL
-SELECT run, source, 'bytes' AS unit, size FROM (SELECT run, source, explode(array(bytes, bytes + 1, bytes + 2)) AS size FROM confirmed)
-GROUP BY run, source, size HAVING count(*) >= {limit_cases}
-"""
+# candidates without a reference, with their last n words
+LAST = "SELECT run, audio, hypothesis, inside, ends, split(h, ' ') AS w, xxhash64(slice(split(h, ' '), greatest(1, size(split(h, ' ')) - {n} + 1), {n})) AS last FROM {candidates} WHERE r = ''"
 
-UNREFERENCED = """
-WITH c AS (SELECT *, split(h, ' ') AS w, length(hypothesis) AS chars, octet_length(regexp_replace(hypothesis, '\\\\x{{FFFD}}', '')) AS bytes FROM {candidates} WHERE r IS NULL OR r = ''),
-judged AS (
-  SELECT c.*,
-    EXISTS (SELECT 1 FROM {limits} l WHERE l.run = c.run AND l.source = c.source AND l.size = IF(l.unit = 'chars', c.chars, c.bytes)) AS at_limit,
-    EXISTS (SELECT 1 FROM {two} g WHERE g.g = xxhash64(slice(c.w, greatest(1, size(c.w) - 1), 2)) AND g.inside >= {frequent} AND (g.ends - 1) * 100 <= {almost_never} * g.inside) AS two,
-    EXISTS (SELECT 1 FROM {one} g WHERE g.g = xxhash64(slice(c.w, size(c.w), 1)) AND g.inside >= {frequent} AND (g.ends - 1) * 100 <= {almost_never} * g.inside) AS one
-  FROM c)
-SELECT run, audio FROM judged
-WHERE size(w) > 1 AND (at_limit OR ((two OR one OR (inside >= {frequent} AND ends * 100 <= {almost_never} * inside)) AND NOT regexp_like(hypothesis, '[.!?\\\\x{{3002}}\\\\x{{FF01}}\\\\x{{FF1F}}]$'))
-  OR regexp_like(hypothesis, '(\\\\x{{FFFD}}| \\\\[)$'))
+UNREFERENCED = r"""
+WITH telling AS (
+  SELECT run, audio FROM {three}, {share3} s WHERE inside * s.share >= {expected} AND ends * 100 <= {almost_never} * inside
+  UNION ALL SELECT c.run, c.audio FROM {two} c JOIN {counts2} g ON g.g = c.last, {share2} s WHERE g.inside * s.share >= {expected} AND (g.ends - 1) * 100 <= {almost_never} * g.inside
+  UNION ALL SELECT c.run, c.audio FROM {one} c JOIN {counts1} g ON g.g = c.last, {share1} s WHERE g.inside * s.share >= {expected} AND (g.ends - 1) * 100 <= {almost_never} * g.inside)
+SELECT DISTINCT c.run, c.audio FROM {three} c LEFT JOIN (SELECT DISTINCT *, true AS told FROM telling) t ON t.run <=> c.run AND t.audio <=> c.audio
+WHERE size(w) > 1 AND (told AND NOT regexp_like(hypothesis, '[.!?\\x{{3002}}\\x{{FF01}}\\x{{FF1F}}]$') OR regexp_like(hypothesis, '(\\x{{FFFD}}| \\[)$'))
 """
 
 
 def prepared(transcripts: DataFrame) -> DataFrame:
-    """The distinct rows with their texts in one form, h and r: lower-case words with a space between."""
-    rows = transcripts.select("run", "audio", "source", "reference", "hypothesis").distinct()
-    formed = rows.withColumn("hyp_form", visual_form_column(F.col("hypothesis"))).withColumn("ref_form", visual_form_column(F.col("reference")))
-    return transcripts.sparkSession.sql(WORDS.replace("{4E00}", "{{4E00}}").replace("{9FFF}", "{{9FFF}}").replace("{L}", "{{L}}").replace("{M}", "{{M}}").replace("{N}", "{{N}}").replace("{200D}", "{{200D}}"), t=formed)
+    """run, audio, hypothesis, h, r, g of the distinct rows with words."""
+    words = WORDS.replace("{invisible}", INVISIBLE.replace("{", "{{").replace("}", "}}"))
+    return transcripts.sparkSession.sql(words, t=transcripts.select("run", "audio", "reference", "hypothesis"))
 
 
 def truncated(transcripts: DataFrame, store) -> DataFrame:
     """run, audio of the rows whose hypothesis was cut. store(df, name) writes intermediate tables to the shared folder."""
     spark = transcripts.sparkSession
     w = store(prepared(transcripts), "words")
-    counts = spark.sql(GRAMS, w=w, n=3)
+    counts = spark.sql(GRAMS.replace("{only}", ""), w=w, n=3)
     candidates = store(spark.sql(FINAL, w=w, counts=counts, almost_never=ALMOST_NEVER), "candidates")
-    aligned = store(spark.sql(ALIGNED, candidates=candidates, tail=TAIL, different=DIFFERENT), "aligned")
-    limits = spark.sql(LIMITS, aligned=aligned, limit_cases=LIMIT_CASES)
-    two, one = (spark.sql(GRAMS, w=w, n=n) for n in (2, 1))
-    rest = spark.sql(UNREFERENCED, candidates=candidates, limits=limits, two=two, one=one, frequent=FREQUENT, almost_never=ALMOST_NEVER)
-    return aligned.where("cut").select("run", "audio").union(rest).distinct()
+    cut = spark.sql(ALIGNED, candidates=candidates, tail=TAIL, different=DIFFERENT)
+    last = {n: spark.sql(LAST, candidates=candidates, n=n) for n in (3, 2, 1)}
+    # shorter grams are counted only where a row without a reference asks for them
+    fewer = {n: spark.sql(GRAMS.replace("{only}", "LEFT SEMI JOIN {last} l ON l.last = x.g"), w=w, n=n, last=last[n]) for n in (2, 1)}
+    share = {n: F.broadcast(spark.sql(SHARE, w=w, n=n)) for n in (3, 2, 1)}
+    rest = spark.sql(
+        UNREFERENCED, three=last[3], two=last[2], one=last[1], counts2=fewer[2], counts1=fewer[1], share3=share[3], share2=share[2], share1=share[1], expected=EXPECTED, almost_never=ALMOST_NEVER,
+    )
+    return cut.union(rest).distinct()
 
 
 def truncation_rates(transcripts: DataFrame, cut: DataFrame) -> DataFrame:
