@@ -98,12 +98,30 @@ def _distinct_by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block)), part], ["block", "word"])
 
 
-def _encode_words(folder: str, name: str):
+def _coded(words: pa.Array, own, counts_only: bool) -> pa.Array:
+    """Ids of each word, four bytes each; or only how many."""
+    found = own.encode_ordinary_batch(words.to_pylist(), num_threads=1)
+    return pa.array([len(x) for x in found], pa.int32()) if counts_only else pa.array([np.array(x, "<i4").tobytes() for x in found], pa.binary())
+
+
+def _encode_words(folder: str, name: str, counts_only: bool = False):
+    """Ids of the words in the last column, whose rows come sorted by word: each word is encoded once, however many rows it has."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(folder, name)
+        last, last_ids = None, None
         for batch in batches:
-            pieces = [np.array(x, "<i4").tobytes() for x in own.encode_ordinary_batch(batch.column(0).to_pylist(), num_threads=1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pieces, pa.binary())], ["word", "ids"])
+            if not batch.num_rows:
+                continue
+            words = batch.columns[-1].dictionary_encode()
+            distinct = words.dictionary
+            fresh = 1 if last is not None and distinct[0].as_py() == last else 0
+            ids = _coded(distinct.slice(fresh), own, counts_only)
+            if fresh:
+                ids = pa.concat_arrays([last_ids, ids])
+            yield pa.RecordBatch.from_arrays([*batch.columns, ids.take(words.indices)], [*batch.schema.names, "ids"])
+            at = words.indices[-1].as_py()
+            last, last_ids = distinct[at].as_py(), ids.slice(at, 1)
 
     return run
 
@@ -130,8 +148,11 @@ def _join_back(counts_only: bool, carried: str | None):
         texts = docs.column("text").combine_chunks() if docs.num_rows else pa.array([], pa.string())
         own, index, counts = cut_batch(texts)
         at = pc.index_in(own, value_set=table_words).to_numpy(zero_copy_only=False)
-        offsets = np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset : pieces.offset + len(pieces) + 1] if len(pieces) else np.zeros(1, np.int32)
-        sizes = np.diff(offsets) // 4
+        if counts_only:
+            sizes = pieces.to_numpy(zero_copy_only=False).astype(np.int64)
+        else:
+            offsets = np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset : pieces.offset + len(pieces) + 1] if len(pieces) else np.zeros(1, np.int32)
+            sizes = np.diff(offsets) // 4
         where = at[index].astype(np.int64) if len(index) else np.zeros(0, np.int64)
         length = sizes[where] if len(where) else np.zeros(0, np.int64)
         ends = np.concatenate([[0], np.cumsum(length)])[np.concatenate([[0], np.cumsum(counts)])]
@@ -162,21 +183,21 @@ def _blocks(documents: DataFrame, carried: str | None = None) -> tuple[DataFrame
     return rows.repartition(parts, "block"), n
 
 
-def encoded_words(pairs: DataFrame, blocks: int, folder: str = FOLDER, name: str = NAME) -> DataFrame:
-    """block, word, ids of pairs (block, word): each distinct word is encoded once, its ids are joined back.
+def encoded_words(pairs: DataFrame, blocks: int, folder: str = FOLDER, name: str = NAME, counts_only: bool = False) -> DataFrame:
+    """block, word, ids of distinct pairs (block, word): each distinct word is encoded once. With counts_only ids are their numbers.
 
-    A frequent word is in every block. Blocks are therefore gathered in groups of GROUP, level by level: a word has one row for
-    each group at the next level, so that no task gets, and no join multiplies, more than GROUP rows of one word for each row
-    of the level above; and partitions grow with the blocks.
+    A frequent word has a row for every block. Up to GROUP blocks its rows meet in one task, which encodes it once and hands it
+    to them. More blocks are gathered in groups of GROUP; a word has one row for each group at the level above, whose ids are
+    joined back, so no task gets more than GROUP rows of a word for each of its rows above. Partitions grow with the blocks.
     """
+    kind = "int" if counts_only else "binary"
     parts = max(2 * pairs.sparkSession.sparkContext.defaultParallelism, blocks // 64)
-    keys = F.floor(F.col("block") / GROUP).alias("group")
-    above = pairs.select(keys, "word").repartition(parts, "group", "word").distinct()
-    if blocks > GROUP:
-        coded = encoded_words(above.select(F.col("group").alias("block"), "word"), math.ceil(blocks / GROUP), folder, name).withColumnRenamed("block", "group")
-    else:
-        coded = above.select("word").mapInArrow(_encode_words(folder, name), "word string, ids binary").withColumn("group", F.lit(0).cast("long"))
-    return pairs.select("block", keys, "word").join(coded.hint("shuffle_hash"), ["group", "word"]).select("block", "word", "ids")
+    if blocks <= GROUP:
+        return pairs.select("block", "word").repartition(parts, "word").sortWithinPartitions("word").mapInArrow(_encode_words(folder, name, counts_only), f"block long, word string, ids {kind}")
+    keyed = pairs.select("block", F.floor(F.col("block") / GROUP).alias("group"), "word")
+    above = keyed.select(F.col("group").alias("block"), "word").repartition(parts, "block", "word").distinct()
+    coded = encoded_words(above, math.ceil(blocks / GROUP), folder, name, counts_only).withColumnRenamed("block", "group")
+    return keyed.join(coded.hint("shuffle_hash"), ["group", "word"]).select("block", "word", "ids")
 
 
 def encode_corpus(documents: DataFrame, folder: str = FOLDER, name: str = NAME, counts_only: bool = False, carried: str | None = None) -> DataFrame:
@@ -188,14 +209,14 @@ def encode_corpus(documents: DataFrame, folder: str = FOLDER, name: str = NAME,
     rows, n = _blocks(documents, carried)
     schema = ("doc_id long, tokens long" + (f", {carried} string, words long" if carried else "")) if counts_only else "doc_id long, ids array<int>"
     pairs = rows.select("block", "doc_id", "text").mapInArrow(_distinct_by_block, "block long, word string")
-    words = encoded_words(pairs, n, folder, name)
+    words = encoded_words(pairs, n, folder, name, counts_only)
     return rows.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_join_back(counts_only, carried), schema)
 
 
 def word_table(documents: DataFrame, folder: str = FOLDER, name: str = NAME) -> DataFrame:
     """word, ids: the distinct words of the corpus, each encoded once."""
     words = documents.select("text").mapInArrow(_words_only, "word string").distinct()
-    coded = words.mapInArrow(_encode_words(folder, name), "word string, ids binary")
+    coded = words.mapInArrow(_encode_words(folder, name), "word string, ids binary")  # distinct, so in any order
     return coded.select("word", _as_list("ids").alias("ids"))
 
 
