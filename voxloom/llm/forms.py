@@ -23,14 +23,19 @@ IGNORABLE = (
     (0x200B, 0x200B), (0x200E, 0x200F), (0x202A, 0x202E), (0x2060, 0x206F), (0x3164, 0x3164), (0xFE00, 0xFE0F),
     (0xFEFF, 0xFEFF), (0xFFA0, 0xFFA0), (0xFFF0, 0xFFF8), (0xE0000, 0xE0FFF),
 )
-# Letters of other scripts that look like a Latin letter, and the Latin letters.
-LOOK_ALIKE = dict(zip("АВЕЅІЈКМНОРСТУХҮаеѕіјорсухһԁԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧο", "ABESIJKMHOPCTYXYaesijopcyxhdqwABEZHIKMNOPTYXo", strict=True))
+# Letters of other scripts that look like a Latin letter, and the Latin letters; Cyrillic, Greek, Armenian, phonetic.
+LOOK_ALIKE = {
+    **dict(zip("АВЕЅІЈКМНОРСТУХҮаеѕіјорсухһԁԛԝӏӀѵү", "ABESIJKMHOPCTYXYaesijopcyxhdqwlIvy", strict=True)),
+    **dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοανρυγι", "ABEZHIKMNOPTYXoavpuyi", strict=True)),
+    **dict(zip("օոսհՕՍ", "onuhOU", strict=True)),
+    **dict(zip("ɡɑ", "ga", strict=True)),
+}
 # Shapes of the apostrophe.
 APOSTROPHES = "‘’‛ʻʼʽ"
 # Sinhala sequences that look like one letter but have no canonical composition.
 SINHALA_PAIRS = {
     "අා": "ආ", "අැ": "ඇ", "අෑ": "ඈ", "උෟ": "ඌ",
-    "එ්": "ඒ", "එෙ": "ඓ", "ඔෟ": "ඖ", "ෙෙ": "ෛ",
+    "එ්": "ඒ", "එෙ": "ඓ", "ඔ්": "ඕ", "ඔෟ": "ඖ", "ෙෙ": "ෛ",
     "ෟෟ": "ෳ", "ෘෘ": "ෲ",
 }
 ZWNJ, ZWJ, VIRAMA = "‌", "‍", "්"
@@ -43,17 +48,22 @@ _PAIRS = re.compile("|".join(SINHALA_PAIRS))
 _PLAIN = r" -~\x{00A1}-\x{00AC}\x{00AE}-\x{00B3}\x{00B5}-\x{017F}\x{0D82}-\x{0DF4}\x{201C}\x{201D}\x{3001}-\x{3029}\x{4E00}-\x{9FFF}"
 UNSETTLED = (
     rf"[^{_PLAIN}\x{{200D}}]|(?<!\x{{0DCA}})\x{{200D}}|\x{{200D}}(?![\x{{0D9A}}-\x{{0DC6}}])|\x{{0DD9}}[\x{{0DCA}}\x{{0DCF}}\x{{0DD9}}\x{{0DDF}}]"
-    r"|\x{0DDC}\x{0DCA}|\x{0D85}[\x{0DCF}\x{0DD0}\x{0DD1}]|[\x{0D8B}\x{0D94}\x{0DDF}]\x{0DDF}|\x{0D91}[\x{0DCA}\x{0DD9}]|\x{0DD8}\x{0DD8}"
+    r"|\x{0DDC}\x{0DCA}|\x{0D85}[\x{0DCF}\x{0DD0}\x{0DD1}]|[\x{0D8B}\x{0D94}\x{0DDF}]\x{0DDF}|\x{0D91}[\x{0DCA}\x{0DD9}]|\x{0D94}\x{0DCA}|\x{0DD8}\x{0DD8}"
 )
 
 
 @cache
 def table() -> dict[int, str | None]:
-    """What one character becomes: ignorable ones vanish, look-alikes become their class's letter. Widths follow from Unicode's decompositions."""
+    """What one character becomes: ignorable ones vanish, look-alikes become their class's letter.
+
+    Widths, styles (bold, script and other letters of one shape) and numerals that are letters follow from Unicode's decompositions.
+    """
     to: dict[int, str | None] = {}
-    for c in range(0x80, 0x10000):
+    for c in (*range(0x80, 0x10000), *range(0x1D400, 0x1D800), *range(0x1EE00, 0x1EF00), *range(0x1FBF0, 0x1FBFA)):
         kind = unicodedata.decomposition(chr(c)).split(" ")
-        if kind[0] in ("<wide>", "<narrow>"):
+        if kind[0] in ("<wide>", "<narrow>", "<font>") and len(kind) == 2:
+            to[c] = chr(int(kind[1], 16))
+        elif kind[0] == "<compat>" and len(kind) == 2 and unicodedata.category(chr(c)) == "Nl":
             to[c] = chr(int(kind[1], 16))
         elif unicodedata.category(chr(c)) == "Zs":
             to[c] = " "
@@ -64,6 +74,9 @@ def table() -> dict[int, str | None]:
     for first, last in IGNORABLE:
         to |= dict.fromkeys(range(first, last + 1))
     to[0x3000] = " "
+    for c, x in to.items():  # a style of a look-alike
+        if x and x in LOOK_ALIKE:
+            to[c] = LOOK_ALIKE[x]
     return to
 
 
@@ -98,8 +111,3 @@ def visual_form_column(text: Column) -> Column:
     """The one form as a column, by Arrow batches."""
     return _visual_form(text)
 
-
-def lower_words(text: Column) -> Column:
-    """Words of a text in the one form, ignoring case and punctuation: array<string>, empty for a text without words."""
-    flat = F.regexp_replace(F.regexp_replace(F.lower(text), "ß", "ss"), r"(?U)[\p{IsPunctuation}\s]+", " ")
-    return F.filter(F.split(flat, " "), lambda w: w != "")

@@ -15,6 +15,7 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -97,15 +98,19 @@ def _steps(symbols: list[str], i: int) -> Iterator[tuple[str, int]]:
             yield unicodedata.normalize("NFD", pair), 2
 
 
+@cache
+def _kept(c: str) -> bool:
+    """Whether free edits can't change this character: all but marks and invisible ones, and of Sinhala the consonants."""
+    if "\u0d80" <= c <= "\u0dff":
+        return bool(_CONSONANT.match(c))
+    return unicodedata.category(c)[0] not in "MCZ"
+
+
 def base_hash(token: str) -> int:
-    """A hash of the token's base letters and digits, the same for all spellings that look the same."""
+    """A hash of the token's base characters of any script, the same for all spellings that look the same."""
     table = forms.table()
-    kept = []
-    for c in unicodedata.normalize("NFD", token):
-        c = table.get(ord(c), c)
-        if c and "0" <= c <= "z" or c and _CONSONANT.match(c) or c and "一" <= c <= "鿿":
-            kept.append(c)
-    return zlib.crc32("".join(kept).encode())
+    shown = "".join(table.get(ord(c), c) or "" for c in unicodedata.normalize("NFD", token))
+    return zlib.crc32("".join(filter(_kept, unicodedata.normalize("NFD", shown))).encode())
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,16 +195,34 @@ def _identity(text: str, *names: str):
     return F.xxhash64(text).alias(one), F.xxhash64(F.lit(1), text).alias(two)
 
 
+def _sharing(rows: DataFrame, formed: DataFrame) -> DataFrame:
+    """tbl, key, t1, t2 (for the text), h1, h2 (for its form) of the distinct records whose form some unsettled record has."""
+    other = formed.select("tbl", "key", *_identity("text", "t1", "t2"), *_identity("form"))
+    wanted = other.select("tbl", "h1", "h2").distinct()
+    settled = rows.where("NOT unsettled").select("tbl", "key", *_identity("text", "t1", "t2"), *_identity("text"))
+    return settled.join(wanted, ["tbl", "h1", "h2"], "left_semi").unionByName(other).distinct()
+
+
 def same_looking_pairs(rows: DataFrame, formed: DataFrame) -> DataFrame:
     """tbl, key_a, key_b of two records of a table that look the same but aren't the same string; key_a < key_b.
 
     Of two such strings one is unsettled, so only records with the form of an unsettled one are paired. rows: tbl, key, text,
-    unsettled; formed: as of unsettled_forms.
+    unsettled; formed: as of unsettled_forms. A class of many records gives many pairs; same_looking_classes gives a row for each
+    record instead.
     """
-    other = formed.select("tbl", "key", *_identity("text", "t1", "t2"), *_identity("form"))
-    wanted = other.select("tbl", "h1", "h2").distinct()
-    settled = rows.where("NOT unsettled").select("tbl", "key", *_identity("text", "t1", "t2"), *_identity("text"))
-    both = settled.join(wanted, ["tbl", "h1", "h2"], "left_semi").unionByName(other).distinct()
+    both = _sharing(rows, formed)
     a, b = (both.select("tbl", "h1", "h2", *(F.col(c).alias(f"{c}_{x}") for c in ("key", "t1", "t2"))) for x in "ab")
     pairs = a.join(b, ["tbl", "h1", "h2"]).where("key_a < key_b AND (t1_a <> t1_b OR t2_a <> t2_b)")
     return pairs.select("tbl", "key_a", "key_b").distinct()
+
+
+def same_looking_classes(rows: DataFrame, formed: DataFrame) -> DataFrame:
+    """tbl, key, class, links of every record that looks the same as another string: links counts the records of the class with
+    other strings. Counts are aggregated before they are joined, so no class is paired out."""
+    both = _sharing(rows, formed)
+    keys = ["tbl", "h1", "h2"]
+    strings = both.groupBy(*keys, "t1", "t2").agg(F.count("*").alias("own"))
+    whole = strings.groupBy(*keys).agg(F.sum("own").alias("all"))
+    links = strings.join(whole, keys).where("all > own").select(*keys, "t1", "t2", (F.col("all") - F.col("own")).alias("links"))
+    named = F.concat(F.hex("h1"), F.hex("h2")).alias("class")
+    return both.join(links, [*keys, "t1", "t2"]).select("tbl", "key", named, "links")

@@ -108,6 +108,13 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.same_looking_pairs(rows, formed)
 
 
+def p6_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every record of p6_found once, with its class and how many records of other strings look the same."""
+    rows = lookalikes.unsettled_rows(_texts(spark, d))
+    formed = stored(lookalikes.unsettled_forms(rows, lambda df: stored(df, "tokens")), "forms")
+    return lookalikes.same_looking_classes(rows, formed)
+
+
 def p6_forms(spark: SparkSession, d: str) -> DataFrame:
     """tbl, key, form of every record with a non-empty text."""
     rows = lookalikes.unsettled_rows(_texts(spark, d))
@@ -203,7 +210,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (p1_found, p1_counts, p2_found, p2_rates, p3_found, p3_terms, p4_found, p4_cutoffs, p6_found, p6_forms, p7_found, p7_splits, p7_sizes, p8_ids, p8_words, p9_containers, p9_fill, p10_found, p10_scores, p10_rates)
+    own = (p1_found, p1_counts, p2_found, p2_rates, p3_found, p3_terms, p4_found, p4_cutoffs, p6_found, p6_classes, p6_forms, p7_found, p7_splits, p7_sizes, p8_ids, p8_words, p9_containers, p9_fill, p10_found, p10_scores, p10_rates)
     return {f.__name__: f for f in own}
 
 

@@ -76,9 +76,9 @@ LAST = "SELECT run, audio, hypothesis, inside, ends, split(h, ' ') AS w, xxhash6
 
 UNREFERENCED = r"""
 WITH telling AS (
-  SELECT run, audio FROM {three}, {share3} s WHERE inside * s.share >= {expected} AND ends * 100 <= {almost_never} * inside
-  UNION ALL SELECT c.run, c.audio FROM {two} c JOIN {counts2} g ON g.g = c.last, {share2} s WHERE g.inside * s.share >= {expected} AND (g.ends - 1) * 100 <= {almost_never} * g.inside
-  UNION ALL SELECT c.run, c.audio FROM {one} c JOIN {counts1} g ON g.g = c.last, {share1} s WHERE g.inside * s.share >= {expected} AND (g.ends - 1) * 100 <= {almost_never} * g.inside)
+  SELECT run, audio FROM {three} WHERE inside * (SELECT share FROM {share3}) >= {expected} AND ends * 100 <= {almost_never} * inside
+  UNION ALL SELECT c.run, c.audio FROM {two} c JOIN {counts2} g ON g.g = c.last WHERE g.inside * (SELECT share FROM {share2}) >= {expected} AND (g.ends - 1) * 100 <= {almost_never} * g.inside
+  UNION ALL SELECT c.run, c.audio FROM {one} c JOIN {counts1} g ON g.g = c.last WHERE g.inside * (SELECT share FROM {share1}) >= {expected} AND (g.ends - 1) * 100 <= {almost_never} * g.inside)
 SELECT DISTINCT c.run, c.audio FROM {three} c LEFT JOIN (SELECT DISTINCT *, true AS told FROM telling) t ON t.run <=> c.run AND t.audio <=> c.audio
 WHERE size(w) > 1 AND (told AND NOT regexp_like(hypothesis, '[.!?\\x{{3002}}\\x{{FF01}}\\x{{FF1F}}]$') OR regexp_like(hypothesis, '(\\x{{FFFD}}| \\[)$'))
 """
@@ -100,7 +100,7 @@ def truncated(transcripts: DataFrame, store) -> DataFrame:
     last = {n: spark.sql(LAST, candidates=candidates, n=n) for n in (3, 2, 1)}
     # shorter grams are counted only where a row without a reference asks for them
     fewer = {n: spark.sql(GRAMS.replace("{only}", "LEFT SEMI JOIN {last} l ON l.last = x.g"), w=w, n=n, last=last[n]) for n in (2, 1)}
-    share = {n: F.broadcast(spark.sql(SHARE, w=w, n=n)) for n in (3, 2, 1)}
+    share = {n: spark.sql(SHARE, w=w, n=n) for n in (3, 2, 1)}
     rest = spark.sql(
         UNREFERENCED, three=last[3], two=last[2], one=last[1], counts2=fewer[2], counts1=fewer[1], share3=share[3], share2=share[2], share1=share[1], expected=EXPECTED, almost_never=ALMOST_NEVER,
     )
