@@ -58,10 +58,28 @@ def test_tables(spark):
 
     got = overlaps.overlaps(overlaps.evaluation_rows(u, s), t, stored).collect()
     assert sorted((r.utterance, r.audio, r.edits) for r in got) == [("u1", "a1", 0), ("u1", "a2", 1), ("u2", "a5", 0)]
+    assert {(r.audio, r.edits): (r.shared, r.spans) for r in got} == {("a1", 0): (6, 1), ("a2", 1): (4, 1), ("a5", 0): (1, 1)}
+    again = u.union(spark.createDataFrame([("u9", "ab", said, 1)], u.schema))
+    pairs, members = overlaps.overlap_classes(overlaps.evaluation_rows(again, s), t.union(spark.createDataFrame([("a9", said)], t.schema)), stored)
+    assert sorted((r.edits, r.utterances, r.records) for r in pairs.collect()) == [(0, 1, 1), (0, 2, 2), (1, 2, 1)] and members.distinct().count() == 3
     assert overlaps.overlaps(overlaps.evaluation_rows(u.limit(0), s), t, stored).count() == 0
     assert overlaps.overlaps(overlaps.evaluation_rows(u, s), t.limit(0), stored).count() == 0
 
 
+def test_rounds_of_indexes(spark, monkeypatch):
+    from voxloom.session import stored
+
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(30)}" for _ in range(rng.randint(3, 9))) for _ in range(200)]
+    e = spark.createDataFrame([(f"u{i}", t) for i, t in enumerate(texts[:100])], "utterance string, text string")
+    t = spark.createDataFrame([(f"a{i}", x) for i, x in enumerate(texts[50:])], "audio string, text string")
+    whole = {tuple(r) for r in overlaps.overlaps(e, t, stored).collect()}
+    for name, value in (("SHARD_WORDS", 100), ("HELD_WORDS", 50), ("TEXTS_AT_ONCE", 7)):
+        monkeypatch.setattr(overlaps, name, value)
+    few = t.coalesce(1).mapInArrow(lambda b: b, t.schema)
+    assert {tuple(r) for r in overlaps.overlaps(e, few, stored).collect()} == whole and len(whole) >= 50
+
+
 def test_forest(spark):
     rng = random.Random(6)
     pairs = [(f"n{rng.randrange(80)}", f"n{rng.randrange(80)}") for _ in range(60)] + [("hub", f"n{i}") for i in range(20)]
@@ -128,3 +146,12 @@ def test_truncation(spark):
     assert sorted(r.audio for r in found.collect()) == ["alone", "cut1", "cut2"]
     assert truncation.truncation_rates(df, found).first().cut == 3
     assert truncation.truncated(df.limit(0), stored).count() == 0
+
+
+def test_entity_edges(spark):
+    from voxloom.session import stored
+
+    rows = spark.createDataFrame([("u1", "a", "x"), ("u2", "b", "x"), ("u3", "c", "y"), ("u4", None, "x"), ("u5", "d", None)], "utterance string, speaker string, source string")
+    roots, forest = splits.spanning_forest(splits.spelling_edges(rows).union(splits.entity_edges(rows, "source")), stored)
+    top = {r.node: r.root for r in roots.collect()}
+    assert top["written a"] == top["written b"] != top["written c"] and len(set(top.values())) == 3 and forest.count() == len(top) - 3

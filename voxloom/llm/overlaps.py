@@ -2,7 +2,7 @@
 
 The distinct evaluation texts, as lists of word hashes, are held in full-text indexes, one for each shard of them: the
 Burrows-Wheeler transform as occurrence lists of its symbols, with which one search step is a binary search, and the places in
-text order. Training streams through backward search of every shard. By the pigeonhole principle, of the d + 1 segments into
+text order. Training streams through backward search of every shard, many words for each index that is loaded. By the pigeonhole principle, of the d + 1 segments into
 which a training text is cut at least one stands unchanged in any evaluation text within d edits; so all segments are searched
 and all their occurrences taken, whatever their number. Occurrences that can still lie within d edits by place and length are
 extended to maximal matches, spans and counts merged for each pair of texts, and the word edit distance computed exactly.
@@ -27,12 +27,14 @@ from pyspark.sql import functions as F
 from voxloom.llm.forms import visual_forms
 from voxloom.llm.splits import speaker_key
 
-#: Words of evaluation texts in an index; and bytes of indexes a worker keeps.
-SHARD_WORDS, KEPT_BYTES = 2_000_000, 256 << 20
+#: Words of evaluation texts in an index; bytes of indexes a worker keeps; and training words that it holds for a round of all indexes.
+SHARD_WORDS, KEPT_BYTES, HELD_WORDS = 2_000_000, 256 << 20, 4_000_000
 #: Edits for each word of the longer list: one in PART.
 PART = 5
 #: Occurrences handled at a time.
 STEP = 1 << 20
+#: Distinct training texts searched at a time.
+TEXTS_AT_ONCE = 10_000
 MARKER = "<asr_text>"
 
 
@@ -182,7 +184,7 @@ def distances(a: list[np.ndarray] | np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def near_texts(index: Index, words: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
-    """text (of words), other (of the index), edits, shared (words in merged maximal matches) of all near pairs."""
+    """text (of words), other (of the index), edits, shared (words in merged maximal matches) and spans (of these) of all near pairs."""
     codes = index.code(words)
     n = np.diff(starts)
     text, seg, size = segments(n)
@@ -194,7 +196,7 @@ def near_texts(index: Index, words: np.ndarray, starts: np.ndarray) -> dict[str,
         off = np.abs(seg[own] - at) + np.abs((n[t] - seg[own]) - (index.lengths[e] - at))
         near = off <= most
         keep.append(np.stack([t[near], e[near], seg[own][near], at[near], size[own][near]]))
-    empty = {k: np.zeros(0, np.int64) for k in ("text", "other", "edits", "shared")}
+    empty = {k: np.zeros(0, np.int64) for k in ("text", "other", "edits", "shared", "spans")}
     if not keep:
         return empty
     seeds = np.concatenate(keep, axis=1)
@@ -218,11 +220,12 @@ def near_texts(index: Index, words: np.ndarray, starts: np.ndarray) -> dict[str,
     number = np.cumsum(good) - 1
     seeds, which = seeds[:, good[which]], number[which[good[which]]]
     t, e, edits = t[good], e[good], edits[good]
-    return {"text": t, "other": e, "edits": edits, "shared": _shared(index, codes, starts, n, t, e, seeds, which)}
+    shared, spans = _shared(index, codes, starts, n, t, e, seeds, which)
+    return {"text": t, "other": e, "edits": edits, "shared": shared, "spans": spans}
 
 
-def _shared(index: Index, codes, starts, n, t, e, seeds, which) -> np.ndarray:
-    """Words of each training text in the union of the maximal matches that the pair's seeds extend to."""
+def _shared(index: Index, codes, starts, n, t, e, seeds, which) -> tuple[np.ndarray, np.ndarray]:
+    """Words of each training text in the union of the maximal matches that the pair's seeds extend to, and the spans it consists of."""
     left, right = seeds[2].copy(), seeds[2] + seeds[4]
     shift = seeds[3] - seeds[2]
     own, other = starts[seeds[0]], index.starts[seeds[1]]
@@ -242,8 +245,10 @@ def _shared(index: Index, codes, starts, n, t, e, seeds, which) -> np.ndarray:
     marks = np.zeros(base[-1] + 1, np.int64)
     np.add.at(marks, base[which] + left, 1)
     np.add.at(marks, base[which] + right, -1)
-    covered = np.concatenate([[0], np.cumsum(np.cumsum(marks) > 0)])
-    return covered[base[1:]] - covered[base[:-1]]
+    inside = np.cumsum(marks) > 0
+    begun = inside & ~np.concatenate([[False], inside[:-1]])
+    covered, opened = (np.concatenate([[0], np.cumsum(x)]) for x in (inside, begun))
+    return covered[base[1:]] - covered[base[:-1]], opened[base[1:]] - opened[base[:-1]]
 
 
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,30 +287,49 @@ def _index(file: str, shard: int) -> Index:
     return own
 
 
-def _stream(shards: list[tuple[int, str]]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words, starts = word_lists(batch.column(1))
-            hashes = text_hashes(words, starts)
-            some = np.flatnonzero(np.diff(starts) > 0)
-            if not len(some):
-                continue
-            _, first, which = np.unique(hashes[some], return_index=True, return_inverse=True)  # copies are searched once
-            rows = some[first]
-            length = starts[rows + 1] - starts[rows]
-            own_starts = np.concatenate([[0], np.cumsum(length)])
-            own = words[np.repeat(starts[rows] - own_starts[:-1], length) + np.arange(own_starts[-1])]
-            by = np.argsort(which, kind="stable")
-            bounds = np.searchsorted(which[by], np.arange(len(rows) + 1))
-            for shard, file in shards:
-                index = _index(file, shard)
+def _stream(shards: list[tuple[int, str]], held_words: int, at_once: int):
+    def search(audios: list[pa.Array], lists: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        """All rows held, against one index after the other: each is loaded once for held_words words."""
+        audio = pa.concat_arrays(audios)
+        words = np.concatenate([w for w, _ in lists])
+        sizes = np.concatenate([np.diff(starts) for _, starts in lists])
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        hashes = text_hashes(words, starts)
+        some = np.flatnonzero(sizes > 0)
+        _, first, which = np.unique(hashes[some], return_index=True, return_inverse=True)  # copies are searched once
+        rows = some[first]
+        by = np.argsort(which, kind="stable")
+        bounds = np.searchsorted(which[by], np.arange(len(rows) + 1))
+        for shard, file in shards:
+            index = _index(file, shard)
+            for k in range(0, len(rows), at_once):
+                part = rows[k : k + at_once]
+                length = sizes[part]
+                own_starts = np.concatenate([[0], np.cumsum(length)])
+                own = words[np.repeat(starts[part] - own_starts[:-1], length) + np.arange(own_starts[-1])]
                 found = near_texts(index, own, own_starts)
                 for i in range(0, len(found["text"]), STEP // 8):
-                    t = found["text"][i : i + STEP // 8]
+                    t = found["text"][i : i + STEP // 8] + k
                     copies = bounds[t + 1] - bounds[t]
                     pick = by[np.repeat(bounds[t] - (np.cumsum(copies) - copies), copies) + np.arange(copies.sum())]
-                    rest = [np.repeat(x[i : i + STEP // 8], copies) for x in (index.hashes[found["other"]], found["edits"], found["shared"])]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some[pick])), *(pa.array(x, pa.int64()) for x in rest)], ["audio", "text", "edits", "shared"])
+                    given = (hashes[rows[t]], index.hashes[found["other"][i : i + STEP // 8]], *(found[c][i : i + STEP // 8] for c in ("edits", "shared", "spans")))
+                    rest = [pa.array(np.repeat(x, copies), pa.int64()) for x in given]
+                    yield pa.RecordBatch.from_arrays([audio.take(pa.array(some[pick])), *rest], ["audio", "said", "text", "edits", "shared", "spans"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        audios: list[pa.Array] = []
+        lists: list[tuple[np.ndarray, np.ndarray]] = []
+        held = 0
+        for batch in batches:
+            words, starts = word_lists(batch.column(1))
+            audios.append(batch.column(0))
+            lists.append((words, starts))
+            held += len(words)
+            if held > held_words:
+                yield from search(audios, lists)
+                audios, lists, held = [], [], 0
+        if held:
+            yield from search(audios, lists)
 
     return run
 
@@ -317,8 +341,9 @@ def evaluation_rows(utterances: DataFrame, speaker_split: DataFrame, splits: tup
     return utterances.join(spelled.select("speaker"), "speaker", "left_semi").select("utterance", "text").distinct()
 
 
-def overlaps(evaluation: DataFrame, train: DataFrame, store: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
-    """utterance, audio, edits, shared of every evaluation (utterance, text) and training (audio, text) pair of near texts.
+def near_rows(evaluation: DataFrame, train: DataFrame, store: Callable[[DataFrame, str], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """audio, said (a number for its text), text (one for the evaluation text), edits, shared, spans of training rows near an
+    evaluation text; and utterance, text, words of the evaluation rows.
 
     Indexes live in the shared folder, where tasks read them; their number grows with the evaluation texts, their size doesn't.
     """
@@ -332,5 +357,25 @@ def overlaps(evaluation: DataFrame, train: DataFrame, store: Callable[[DataFrame
     transcripts = train.select("audio", F.substring_index("text", MARKER, 1).alias("head"), "text")
     said = F.when(F.instr("text", MARKER) > 0, F.expr(f"substr(text, length(head) + {len(MARKER) + 1})")).otherwise(F.col("text"))
     rows = transcripts.where("audio IS NOT NULL AND text IS NOT NULL").select("audio", said.alias("said"))
-    found = rows.mapInArrow(_stream(files), "audio string, text long, edits long, shared long").distinct()
-    return found.join(listed.select("utterance", "text"), "text").groupBy("utterance", "audio").agg(F.min("edits").alias("edits"), F.max("shared").alias("shared"))
+    found = rows.mapInArrow(_stream(files, HELD_WORDS, TEXTS_AT_ONCE), "audio string, said long, text long, edits long, shared long, spans long").distinct()
+    return found, listed
+
+
+def overlaps(evaluation: DataFrame, train: DataFrame, store: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """utterance, audio, edits, shared, spans of every evaluation (utterance, text) and training (audio, text) pair of near texts.
+
+    Equal utterances and equal records give all their pairs; overlap_classes gives a row for each pair of texts instead.
+    """
+    found, listed = near_rows(evaluation, train, store)
+    pairs = found.join(listed.select("utterance", "text"), "text").groupBy("utterance", "audio")
+    return pairs.agg(F.min("edits").alias("edits"), F.max("shared").alias("shared"), F.max("spans").alias("spans"))
+
+
+def overlap_classes(evaluation: DataFrame, train: DataFrame, store: Callable[[DataFrame, str], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """A row for each pair of near texts: text and said (numbers of the evaluation and the training text), edits, shared, spans,
+    utterances and records (how many have these texts); and who has an evaluation text: utterance, text.
+    """
+    found, listed = near_rows(evaluation, train, store)
+    sides = listed.groupBy("text").agg(F.count_distinct("utterance").alias("utterances"))
+    pairs = found.groupBy("text", "said").agg(F.min("edits").alias("edits"), F.max("shared").alias("shared"), F.max("spans").alias("spans"), F.count("*").alias("records"))
+    return pairs.join(sides, "text").select("text", "said", "edits", "shared", "spans", "utterances", "records"), listed.select("utterance", "text")

@@ -16,23 +16,31 @@ EVALUATION = ("dev", "test")
 # 1: the same or nearly the same records across splits
 
 
-def _overlaps(spark: SparkSession, d: str) -> DataFrame:
-    rows = overlaps.evaluation_rows(table(spark, d, "utt_spk_text"), table(spark, d, "speaker_split"), EVALUATION)
-    return overlaps.overlaps(rows, table(spark, d, "train"), stored)
+def _both(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return overlaps.evaluation_rows(table(spark, d, "utt_spk_text"), table(spark, d, "speaker_split"), EVALUATION), table(spark, d, "train")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return _overlaps(spark, d).select("utterance", "audio")
+    return overlaps.overlaps(*_both(spark, d), stored).select("utterance", "audio")
+
+
+def p1_classes(spark: SparkSession, d: str) -> DataFrame:
+    """A row for each pair of near texts with the utterances and records that have them; copies aren't paired out."""
+    return overlaps.overlap_classes(*_both(spark, d), stored)[0]
 
 
 def p1_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Overlapping evaluation utterances, training records and pairs per split and source of the utterance."""
-    found = stored(_overlaps(spark, d), "overlaps")
+    """Overlapping evaluation utterances, pairs, spans of equal words and words in them per split and source of the utterance."""
+    pairs, members = overlaps.overlap_classes(*_both(spark, d), stored)
+    said = pairs.groupBy("text").agg(
+        F.sum("records").alias("pairs"), F.sum(F.when(F.col("edits") == 0, F.col("records")).otherwise(0)).alias("same"), F.sum(F.col("records") * F.col("spans")).alias("spans"), F.sum(F.col("records") * F.col("shared")).alias("words"),
+    )
     marks = table(spark, d, "speaker_split").where(F.col("split").isin(*EVALUATION)).select(splits.speaker_key(F.col("speaker")).alias("who"), "split").where("who IS NOT NULL").distinct()
     speakers = table(spark, d, "utt_spk_text").select("speaker").distinct().withColumn("who", splits.speaker_key(F.col("speaker"))).join(marks, "who").select("speaker", "split")
-    said = table(spark, d, "utt_spk_text").select("utterance", "speaker", "source").join(speakers, "speaker").select("utterance", "split", "source").distinct()
-    exact = F.count_if(F.col("edits") == 0)
-    return found.join(said, "utterance").groupBy("split", "source").agg(F.count("*").alias("pairs"), exact.alias("same_pairs"), F.count_distinct("utterance").alias("utterances"), F.count_distinct("audio").alias("records"))
+    placed = table(spark, d, "utt_spk_text").select("utterance", "speaker", "source").join(speakers, "speaker").select("utterance", "split", "source").distinct()
+    rows = members.distinct().join(said, "text").join(placed, "utterance")
+    total = lambda c, name: F.sum(c).alias(name)
+    return rows.groupBy("split", "source").agg(F.count_distinct("utterance").alias("utterances"), total("pairs", "pairs"), total("same", "same_pairs"), total("spans", "spans"), total("words", "shared_words"))
 
 
 # 2: texts cut off by field limits
@@ -137,6 +145,17 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return splits.torn_speakers(table(spark, d, "speaker_split"), _roots(spark, d, False))
 
 
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Each split's share as it was asked for, whether it was met (within a percent and the largest group), and how many groups of related records are torn."""
+    rows = stored(splits.assign(table(spark, d, "utt_spk_text"), table(spark, d, "split_targets"), _roots(spark, d, True), stored).select("root", "split"), "assigned")
+    groups = rows.groupBy("root").agg(F.count("*").alias("n"), (F.min("split") != F.max("split")).alias("torn"))
+    whole = groups.agg(F.sum("n").alias("all"), F.max("n").alias("largest"), F.count_if("torn").alias("torn")).first()
+    sizes = table(spark, d, "split_targets").join(rows.groupBy("split").agg(F.count("*").alias("n")), "split", "left")
+    off = F.abs(F.coalesce("n", F.lit(0)) - F.col("share_percent") / 100 * (whole["all"] or 0))
+    met = off <= 0.01 * (whole["all"] or 0) + (whole["largest"] or 0)
+    return sizes.select("split", "share_percent", met.alias("met"), F.lit(whole["torn"] or 0).alias("torn"))
+
+
 def p7_splits(spark: SparkSession, d: str) -> DataFrame:
     rows = splits.assign(table(spark, d, "utt_spk_text"), table(spark, d, "split_targets"), _roots(spark, d, True), stored)
     return rows.select("utterance", "speaker", "split")
@@ -210,7 +229,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (p1_found, p1_counts, p2_found, p2_rates, p3_found, p3_terms, p4_found, p4_cutoffs, p6_found, p6_classes, p6_forms, p7_found, p7_splits, p7_sizes, p8_ids, p8_words, p9_containers, p9_fill, p10_found, p10_scores, p10_rates)
+    own = (p1_found, p1_classes, p1_counts, p2_found, p2_rates, p3_found, p3_terms, p4_found, p4_cutoffs, p6_found, p6_classes, p6_forms, p7_found, p7_shares, p7_splits, p7_sizes, p8_ids, p8_words, p9_containers, p9_fill, p10_found, p10_scores, p10_rates)
     return {f.__name__: f for f in own}
 
 
@@ -222,4 +241,5 @@ def oracle_sql() -> dict[str, str]:
         "p4_found": _CUTOFFS_SQL + "SELECT DISTINCT r.source, r.file FROM r JOIN q USING (source) WHERE r.error > q.cutoff",
         "p4_cutoffs": _CUTOFFS_SQL + "SELECT k.source, k.keep_percent, coalesce(any_value(q.records), 0) AS records, any_value(q.cutoff) AS cutoff, count(*) FILTER (r.error <= q.cutoff) AS kept, count(*) FILTER (r.error = q.cutoff) AS ties FROM k LEFT JOIN q USING (source) LEFT JOIN r ON r.source = k.source GROUP BY k.source, k.keep_percent",
         "p7_found": _TORN_SQL,
+        "p7_shares": "SELECT split, share_percent, true AS met, 0 AS torn FROM split_targets",
     }

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxloom.llm.forms import visual_form_column
+from voxloom.session import discarded
 
 Store = Callable[[DataFrame, str], DataFrame]
 #: Groups of at least this share of all records are dealt one by one, largest first; there are at most 1 / LARGE of them.
@@ -49,6 +50,12 @@ def shared_edges(records: DataFrame) -> DataFrame:
     return pairs.select(*(F.concat(F.lit("written "), c).alias(c) for c in ("a", "b")))
 
 
+def entity_edges(records: DataFrame, entity: str) -> DataFrame:
+    """a, b: edges from each spelling of a speaker to the values of another column (a source, an entity) of its records, which then stay together too."""
+    pairs = records.where(f"speaker IS NOT NULL AND trim(speaker) <> '' AND {entity} IS NOT NULL").select("speaker", entity).distinct()
+    return pairs.select(F.concat(F.lit("written "), "speaker").alias("a"), F.concat(F.lit(f"{entity} "), F.col(entity).cast("string")).alias("b"))
+
+
 def spanning_forest(edges: DataFrame, store: Store) -> tuple[DataFrame, DataFrame]:
     """node, root of every vertex of edges (a, b), and the forest: the edges (a, b) chosen.
 
@@ -69,32 +76,35 @@ def spanning_forest(edges: DataFrame, store: Store) -> tuple[DataFrame, DataFram
         # two components that took the same edge: the lesser one is the tree's root
         mutual = least.alias("x").join(least.alias("y"), F.expr("x.v = y.u AND y.v = x.u AND x.u < x.v"), "left_semi").select("u")
         parent = least.join(mutual.withColumn("top", F.lit(True)), "u", "left").select("u", F.when(F.col("top"), F.col("u")).otherwise(F.col("v")).alias("p"))
-        parent = store(parent, "parent")
+        stored_parent = parent = store(parent, "parent")
         while True:  # pointer jumping: the depth of the trees halves
             up = parent.select(F.col("u").alias("p"), F.col("p").alias("q"))
-            jumped = store(parent.join(up, "p").select("u", F.col("q").alias("p"), (F.col("p") != F.col("q")).alias("moved")), "parent")
-            moved = jumped.where("moved").limit(1).count()
-            parent = jumped.select("u", "p")
+            before, stored_parent = stored_parent, store(parent.join(up, "p").select("u", F.col("q").alias("p"), (F.col("p") != F.col("q")).alias("moved")), "parent")
+            discarded(before)
+            moved = stored_parent.where("moved").limit(1).count()
+            parent = stored_parent.select("u", "p")
             if not moved:
                 break
         to = parent.select(F.col("u").alias("root"), F.col("p").alias("top"))
+        old_roots, old_live = roots, live
         roots = store(roots.join(to, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "roots")
         moved_u = live.join(to.withColumnRenamed("root", "u"), "u", "left").withColumn("u", F.coalesce("top", "u")).drop("top")
         moved_v = moved_u.join(to.withColumnRenamed("root", "v"), "v", "left").withColumn("v", F.coalesce("top", "v")).drop("top")
         live = store(moved_v.where("u <> v").groupBy("u", "v").agg(F.min(F.struct("w", "a", "b")).alias("m")).select("m.a", "m.b", "m.w", "u", "v"), "edges")
+        discarded(old_roots, old_live, stored_parent)
     return roots, forest if forest is not None else both.limit(0)
 
 
 def torn_speakers(split_rows: DataFrame, roots: DataFrame) -> DataFrame:
     """speaker of those whom split_rows (speaker, split), over all spellings, put in more than one split.
 
-    Trees of the forest with more than one split are taken; in them each speaker's own rows decide.
+    roots: of the forest over spellings alone. Rows meet at the root of their spelling's tree; a tree with rows of more than one
+    split gives the speaker that is among its vertices.
     """
-    named = split_rows.where("speaker IS NOT NULL AND split IS NOT NULL").select(F.concat(F.lit("written "), "speaker").alias("node"), "speaker", "split")
-    rooted = named.join(roots, "node")
-    torn = rooted.groupBy("root").agg(F.min("split").alias("x"), F.max("split").alias("y")).where("x <> y").select("root")
-    rows = rooted.join(torn, "root", "left_semi").select(speaker_key(F.col("speaker")).alias("speaker"), "split")
-    return rows.groupBy("speaker").agg(F.min("split").alias("x"), F.max("split").alias("y")).where("x <> y").select("speaker")
+    named = split_rows.where("speaker IS NOT NULL AND split IS NOT NULL").select(F.concat(F.lit("written "), "speaker").alias("node"), "split")
+    torn = named.join(roots, "node").groupBy("root").agg(F.min("split").alias("x"), F.max("split").alias("y")).where("x <> y").select("root")
+    names = roots.where(F.col("node").startswith("speaker ")).join(torn, "root", "left_semi")
+    return names.select(F.expr("substr(node, 9)").alias("speaker"))
 
 
 def _deal_large(shares: list[tuple[str, float]], total: int):
