@@ -1,16 +1,36 @@
 import collections
 import random
 
+import numpy as np
+
 from voxloom.llm import cutoffs, terms
 
 
-def test_containers_hold_all_terms():
+def test_trie_accumulates():
     rng = random.Random(2)
-    words = sorted({"".join(rng.choices("ab\U0010ffffක", k=rng.randint(1, 6))) for _ in range(2000)})
-    found = list(terms.containers(words, 10))
-    assert sorted(i for _, lo, hi in found for i in range(lo, hi)) == list(range(len(words)))
-    assert all(hi - lo <= 10 and all(w.startswith(p) for w in words[lo:hi]) for p, lo, hi in found)
-    assert terms.front_decode(*terms.front_code(words)) == words
+    for capacity in (1, 10, 512):
+        trie, truth = terms.Trie(capacity), {}
+        for _ in range(30):
+            words = sorted({"".join(rng.choices("ab\U0010ffffක", k=rng.randint(1, 6))) for _ in range(rng.randint(0, 200))})
+            o, n = ([rng.randint(1, 9) for _ in words] for _ in range(2))
+            trie.add(words, np.array(o, np.int64), np.array(n, np.int64))
+            for w, x, y in zip(words, o, n, strict=True):
+                a, b = truth.get(w, (0, 0))
+                truth[w] = a + x, b + y
+        got = {}
+        for prefix, words, o, n in trie.subtrees():
+            assert all(w.startswith(prefix) for w in words) and words == sorted(words) and len(words) <= capacity
+            assert terms.front_decode(*terms.front_code(words)) == words
+            for w, x, y in zip(words, o, n, strict=True):
+                assert w not in got
+                got[w] = x, y
+        assert got == truth and trie.size == len(truth)
+
+
+def test_texts_of_one_key_are_one_record(spark):
+    df = spark.createDataFrame([("u1", "a b"), ("u1", "a c a"), ("u1", "a b"), ("u2", "a"), (None, "a"), (None, "a"), (None, "b")], "k string, t string")
+    found, n = terms.count_terms(df, "k", "t", lambda x: x)
+    assert n == 4 and {r.term: (r.occurrences, r.records) for r in found.collect()} == {"a": (5, 3), "b": (2, 2), "c": (1, 1)}
 
 
 def test_counts(spark, monkeypatch):
@@ -23,10 +43,11 @@ def test_counts(spark, monkeypatch):
         own = [w for w in (t or "").split(" ") if w]
         occurrences.update(own)
         records.update(set(own))
-    for cap, route, held in ((512, 50_000, 1_000_000), (4, 20, 50)):
+    for cap, route, held, enter in ((512, 50_000, 1_000_000, 200_000), (4, 20, 50, 30)):
         monkeypatch.setattr(terms, "CAPACITY", cap)
         monkeypatch.setattr(terms, "ROUTE", route)
         monkeypatch.setattr(terms, "HELD", held)
+        monkeypatch.setattr(terms, "ENTER", enter)
         found, n = terms.count_terms(df, "utterance", "text", lambda x: x)
         got = {r.term: (r.occurrences, r.records) for r in found.collect()}
         assert n == len(texts) + 1 and got == {w: (occurrences[w], records[w]) for w in occurrences}
