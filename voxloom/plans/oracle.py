@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from voxloom.operators.speakers import GAMMA, MIX, SHIFTS
+
 _FULL = "".join(map(chr, range(0xFF01, 0xFF5F))) + "         　²³¹"
 _HALF = "".join(map(chr, range(0x21, 0x7F))).replace("'", "''") + " " * 10 + "231"
 _WS = r"[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
@@ -159,6 +161,17 @@ def _rejects(table: str, good: str, header: str) -> str:
 FROM {table} WHERE line IS NOT NULL AND NOT regexp_full_match(line, '({_WS})?') AND NOT (line_no = 1 AND line = '{header}') AND NOT regexp_full_match(line, '{good}', 's')"""
 
 
+def _epoch_order(epoch: int) -> str:
+    """The order of an epoch by the sequential generator, swap by swap, for tables of test size."""
+    wide, top = "::UHUGEINT", "18446744073709551616::UHUGEINT"
+    times = lambda z, shift, factor: f"(xor({z}, {z} >> {shift}){wide} * {factor}{wide} % {top})::UBIGINT"
+    return f"""WITH RECURSIVE t AS (SELECT count(*) AS n FROM train), a AS (SELECT i, ((52 + ({epoch} + i){wide} * {GAMMA}{wide}) % {top})::UBIGINT AS z FROM t, range(1, n) r(i)),
+b AS (SELECT i, {times("z", SHIFTS[0], MIX[0])} AS z FROM a), c AS (SELECT i, {times("z", SHIFTS[1], MIX[1])} AS z FROM b),
+d AS MATERIALIZED (SELECT i, n - i AS high, (xor(z, z >> {SHIFTS[2]}) % (n - i + 1)::UBIGINT)::BIGINT AS low FROM c, t),
+o(i, x) AS (SELECT 0::BIGINT, range(n) FROM t UNION ALL SELECT d.i, CASE WHEN low = high THEN x ELSE list_concat(x[1:low], [x[high + 1]], x[low + 2:high], [x[low + 1]], x[high + 2:]) END FROM o JOIN d ON d.i = o.i + 1),
+f AS (SELECT x FROM o ORDER BY i DESC LIMIT 1) """
+
+
 def _rows(table: str, good: str, header: str, names: tuple[str, ...]) -> str:
     """The good lines' fields, quotes undone."""
     field = '("(?:[^"]|"")*"|[^"\\t][^\\t]*|)'
@@ -263,6 +276,8 @@ SELECT run, utterances = u AS same_count, abs(character_errors - e) <= 0.01 * gr
         "sample_layout": _SAMPLE + ", t AS (SELECT string_split(audio, '/')[-1] AS file, min(audio) AS target FROM train WHERE source = 'librispeech' AND audio IS NOT NULL GROUP BY 1) SELECT shard, file, '/out/' || (shard + 1) || '/' || file AS path, target, CASE WHEN target IS NULL THEN 'no recording' END AS problem FROM s LEFT JOIN t USING (file)",
         "error_sentences": _tally("run") + "SELECT run, concat_ws(', ', utterances || printf(' utterances, CER %.2f %%, WER %.2f %%', 100.0 * character_errors / greatest(characters, 1), 100.0 * word_errors / greatest(words, 1)), CASE WHEN latin_in_references > 0 THEN 'Latin words ' || latin_matched || ' of ' || latin_in_references END, CASE WHEN truncated > 0 THEN truncated || ' under half as long' END) AS line FROM tallies",
         "evaluation_records": f"SELECT 'fleurs_' || short || '_test' AS name, source, '/corpora/' || source || '/audio/test/' || file AS audio, 'language ' || language || '<asr_text>' || CASE WHEN glossed THEN {_BARE.replace('{x}', 'label')} ELSE label END AS record FROM (SELECT DISTINCT source, file, label FROM replay WHERE label IS NOT NULL) JOIN {_SOURCES} USING (source) JOIN (VALUES ('en_us', 'en'), ('cmn_hans_cn', 'zh'), ('es_419', 'es'), ('fr_fr', 'fr'), ('de_de', 'de')) AS n(source, short) USING (source)",
+        "epoch_order": _epoch_order(1) + "SELECT unnest(range(len(x))) AS place, unnest(x) AS record FROM f",
+        "epoch_sample": _epoch_order(0) + "SELECT unnest(x[1:20]) AS record FROM f",
         "epoch_order_hash": "SELECT pos, row_number() OVER (ORDER BY md5('52' || chr(9) || '1' || chr(9) || pos), pos) - 1 AS place FROM train",
         "tensor_blend_shares": _VECTORS + _UNNESTED + "SELECT vec_id, \"at\", round(((x * ((vec_id % 5) / 4)::FLOAT)::FLOAT + (y * (1 - (vec_id % 5) / 4)::FLOAT)::FLOAT)::DOUBLE, 4) AS x FROM u",
         "tensor_quantise_half": _QUANT.replace("{low}", _stored("low", 7, -126, False)).replace("{high}", _stored("high", 7, -126, True)).replace("{step}", _stored("s", 7, -126, True)) + _PACKED,
