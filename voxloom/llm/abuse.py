@@ -15,7 +15,7 @@ flagged ones, the others as unknown; all passages of the other documents are cle
 Training takes a bounded sample of labelled documents (MAX_DOCUMENTS, MAX_LETTERS) and of their passages (MAX_PASSAGES of either
 label); landmarks are chosen among at most POOL flagged passages. Scoring covers every document whole.
 
-Null, empty and letterless texts score null and aren't flagged. Null labels take no part. Without labels of both kinds no
+Null and empty texts, and those without a passage of SUB letters (a Han character counts for two), score null and aren't flagged. Null labels take no part. Without labels of both kinds no
 document is flagged. Repeated rows count once.
 """
 
